@@ -78,7 +78,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_secrets, op3_decontaminate, op4_language, op5_shards, op7_simhash, op8_packing, op9_chat)}
+    from corpus_pipeline import run
+
+    return {"pipeline": run} | {f.__name__: f for f in (op1_pii, op2_secrets, op3_decontaminate, op4_language, op5_shards, op7_simhash, op8_packing, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
