@@ -111,7 +111,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("fastq").option("paths", "\n".join(paths)).load()
     source = F.col("_metadata.file_path").alias("path")
     if kind == "lines":
-        return spark.read.text(paths).select(source, F.rtrim(F.lit("\r"), F.col("value")).alias("seq"))
+        return spark.read.text(paths).select(source, F.rtrim(F.col("value"), F.lit("\r")).alias("seq"))
     records = spark.read.option("lineSep", "\n>").text(paths).select(source, F.col("value"))
     # The rest of the record's first line is its header.
     body = F.when(F.instr("value", "\n") > 0, F.regexp_replace("value", r"^[^\n]*\n", "")).otherwise("")
