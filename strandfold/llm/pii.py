@@ -155,7 +155,8 @@ def sanitise(df: DataFrame, text: str = "text", out: str = "pii", clean: str = "
     added = F.filter(added, lambda s: ~F.exists(F.col(spans), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     added = F.when(F.col(terms).isNotNull(), added).otherwise(F.array().cast(SPAN))
     plain = F.transform(F.col(spans), lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    extra = F.concat(*(F.filter(F.col(terms), lambda s, k=k: s["kind"] == k) for k in ADDED))
+    of_kind = lambda kind: F.filter(F.col(terms), lambda s: s["kind"] == kind)
+    extra = F.concat(*map(of_kind, ADDED))
     marked = marked.withColumn(terms, added).withColumn(out, F.concat(plain, extra))
     return marked.withColumn(clean, F.when(F.col(text).isNotNull(), replaced(F.col(own), F.col(out)))).select(*df.columns, out, clean)
 
