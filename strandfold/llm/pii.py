@@ -117,13 +117,19 @@ def disclosing_terms(found: DataFrame, text: str, spans: str, contexts: int = 3,
     pairs = F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"), F.xxhash64(x["terms"]).alias("context"))))))
     counted = seen.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     counted = counted.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= contexts)
-    counted = written(counted.join(entities, "entity"), "pairs")
+    # A term occurs in at least as many documents as it occurs in near any entity, which bounds its PMI from above: pairs
+    # that cannot reach the threshold go before the corpus is read again.
+    total = found.agg(F.count("*").alias("n_all"))
+    near_terms = F.array_distinct(F.flatten(F.transform("near", lambda x: x["terms"])))
+    near_any = seen.select(F.explode(near_terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    counted = counted.join(entities, "entity").join(near_any, "term").join(F.broadcast(total))  # one row
+    most = F.col("n_ct") * F.pow(F.col("n_all") / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-6)
+    counted = written(counted.where(F.col("n_near") <= most).drop("n_near"), "pairs")
     wanted = counted.select("term").distinct()
     # Document frequency of the terms in question, over all documents; nothing is read if there are none.
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
     frequency = found.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = found.agg(F.count("*").alias("n_all"))
-    rated = counted.join(frequency, "term").join(F.broadcast(total))  # one row
+    rated = counted.join(frequency, "term")
     information = F.log(F.col("n_all") / F.col("n_c"))
     pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * F.col("n_all") / (F.col("n_c") * F.col("n_t")))
     rated = rated.select("term", F.when(information > 0, pmi / information).otherwise(0.0).alias("strength")).groupBy("term").agg(F.max("strength").alias("strength"))
