@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, release: Callable[[], None]) -> None:
+    """Say in a task that its process keeps a cache for `owner`; what other operators keep there is released.
+
+    Python workers are reused from stage to stage: without this each would carry the caches of all operators it ever ran.
+    """
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = release
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of a string column, about `most` bytes at a time; nulls are empty.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import fresh, spread, text_slices
+from strandfold.llm.common import fresh, holds, spread, text_slices
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -35,8 +35,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
 
 
+def _forget_powers() -> None:
+    _POWERS[:] = [np.ones(1, np.uint64)] * 2
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    holds("powers", _forget_powers)
     if len(_POWERS[0]) < n:
         for k, base in enumerate((0x100000001B3, pow(0x100000001B3, -1, 1 << 64))):
             row = np.full(n, base, np.uint64)

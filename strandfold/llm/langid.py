@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import fresh, spread
+from strandfold.llm.common import fresh, holds, spread
 
 UNKNOWN = "und"
 _SEGMENT = re.compile(rb"[^\x20\t-\r]{1,32}")
@@ -209,6 +209,7 @@ _TABLES: dict[bytes, _Table] = {}
 def _table(model: Model) -> _Table:
     """The process's table for this model: Python workers are reused, so later tasks find earlier segments."""
     own = b"".join(model.weights[k].tobytes() for k in sorted(model.weights)) + repr(model.langs).encode()
+    holds("language", _TABLES.clear)
     if own not in _TABLES:
         _TABLES.clear()
         _TABLES[own] = _Table(model)
@@ -258,7 +259,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
             at = 0
             while at < len(rows):
                 part, size = [], 0
-                while at < len(rows) and size < 4 << 20:
+                while at < len(rows) and size < 1 << 20:
                     part.append((rows[at], texts[rows[at]].as_py().encode()))
                     size += len(part[-1][1])
                     at += 1

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandfold.llm.common import holds
+
 #: A space before a character that is no white space begins a pre-token of the byte-level pattern whatever stands before it,
 #: so texts may be cut there and each cut tokenised by itself.
 _CUT = re.compile(r" (?=\S)")
@@ -109,6 +111,26 @@ def _learn(words: list[str], path: str) -> None:
         _WORDS[w] = array("I", ids).tobytes()
 
 
+def _release() -> None:
+    _WORDS.clear()
+    _tokenizer.cache_clear()
+    _ranked.cache_clear()
+
+
+def encode_group(texts: list[str], path: str, last: int, chars: int = 1 << 20) -> list[bytes]:
+    """encode() of about `chars` characters at a time, so that only their words exist at once."""
+    holds("packing", _release)
+    out, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < chars:
+            size += len(texts[end])
+            end += 1
+        out += encode(texts[at:end], path, last)
+        at = end
+    return out
+
+
 def encode(texts: list[str], path: str, last: int) -> list[bytes]:
     """Each text's ids and then `last`, little-endian uint32."""
     tokenizer, end = _tokenizer(path), np.array([last], "<u4").tobytes()
@@ -162,7 +184,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         names, types = None, None
         base, used = TaskContext.get().partitionId() << 36, 0
         for keys, texts in groups(batches):
-            ids = encode(texts, tokenizer, last)
+            ids = encode_group(texts, tokenizer, last)
             totals = [len(x) // 4 for x in ids]
             rests = [i for i, n in enumerate(totals) if n % capacity]
             bins, opened = first_fit_decreasing([totals[i] % capacity for i in rests], capacity)

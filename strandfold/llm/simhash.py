@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import components, fresh, spread, written
+from strandfold.llm.common import components, fresh, holds, spread, written
 
 BITS = 64
 #: Words are runs of other characters than these (fixed values of the contract).
@@ -61,6 +61,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     schema = ", ".join([*([df.select(*kept)._jdf.schema().toDDL()] if kept else []), f"`{out}` bigint"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("simhash", _CACHE.clear)
         for batch in batches:
             prints = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(text)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints.view(np.int64))], names=[*kept, out])
@@ -164,6 +165,7 @@ def near_links(prints: DataFrame, column: str = "fingerprint", budget: int = 3,
     dealt = prints.select(F.col(column).alias("f"), top.alias("p")).select("f", "p", F.explode(pairs).alias("pair"))
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
+        holds("simhash", _CACHE.clear)
         p, q = divmod(key[0].as_py(), n)
         values = table.column("f").to_numpy().astype(np.int64).view(np.uint64)
         own = table.column("p").to_numpy()
