@@ -55,6 +55,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def keep_one(df: DataFrame, grouped: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of df for each group: the one with the smallest key, nulls last, then the smallest text hash; of rows with
+    the same key and text, one.
+
+    `grouped` has a row (key, h, h2, group) for every row of df, h and h2 being xxhash64 and hash of the text, and rows of
+    one text are in one group.
+    """
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h", "h2")).alias("best"))
+    k, h, h2, a, b = fresh(df, "key_", "h_", "h2_", "own_h_", "own_h2_")
+    wanted = best.select(F.col("best.key").alias(k), F.col("best.h").alias(h), F.col("best.h2").alias(h2))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumns({a: F.xxhash64(whole), b: F.hash(whole)})
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(a) == F.col(h)) & (F.col(b) == F.col(h2))
+    return rows.join(wanted, same, "left_semi").dropDuplicates([key, a, b]).select(*df.columns)
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 

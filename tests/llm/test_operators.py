@@ -261,3 +261,52 @@ def test_pipeline(spark, sf):
         assert following.columns == docs.columns and 0 < following.count() <= docs.count(), name
         docs = following
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == docs.count()
+
+
+def _near_groups(texts):
+    """Brute force: components of texts by Jaccard similarity 0.8 of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""})
+    parent = list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sets[i] == sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(20)]
+    rows = []
+    for b in base:
+        rows.append(" ".join(b))
+        for n in (1, 2, 3, 5):  # one word in the middle changes five of 56 shingles; similarities from 0.84 down
+            w = list(b)
+            for at in rng.sample(range(5, 55), n):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+        rows.append(" ".join([*b, *(f"y{rng.randrange(10**6)}" for _ in range(13))]))  # 56 of 69: 0.81
+    hub = base[0]
+    rows += [" ".join([*hub, f"z{i}"]) for i in range(100)] + ["one two", "One  two", "one three", None, " "]
+    rng.shuffle(rows)
+    want = _near_groups(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, df, "").collect()) == sorted(set(want))
+
+
+def test_pipeline_near_copies_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, prose(40)) for _ in range(6)] + [(7, prose(40)) for _ in range(3)] + [(8, prose(40))] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
+    assert sorted(r["text"] for r in got) == sorted({t for _, t in rows})
