@@ -239,7 +239,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item; a null key is a document id like any other."""
-    (leaked,) = fresh(docs, "leaked")
-    found = find_leaks(docs, benchmark, key, **options).select(F.col(key).alias(leaked)).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col(leaked)), "left_anti")
+    """The documents that hold no benchmark item, judged row by row: other rows with the same id, or without one, do not count."""
+    text = options.pop("text", "text")
+    own, h, h2 = fresh(docs, "text_at", "h_", "h2_")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Whether a row leaks depends on its text only.
+    marked = docs.withColumn(own, F.struct(F.xxhash64(whole).alias("h"), F.hash(whole).alias("h2")))
+    found = find_leaks(marked, benchmark, own, text, **options).select(F.col(f"{own}.h").alias(h), F.col(f"{own}.h2").alias(h2)).distinct()
+    return marked.join(found, (F.col(f"{own}.h") == F.col(h)) & (F.col(f"{own}.h2") == F.col(h2)), "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import components, fresh, holds, spread, written
+from strandfold.llm.common import components, holds, keep_one, spread, written
 
 BITS = 64
 #: Words are runs of other characters than these (fixed values of the contract).
@@ -180,6 +180,19 @@ def near_links(prints: DataFrame, column: str = "fingerprint", budget: int = 3,
     return dealt.groupBy("pair").applyInArrow(join, "a bigint, b bigint")
 
 
+def _grouped(df: DataFrame, key: str, text: str, budget: int, shingle: int, prefix: int | None) -> DataFrame:
+    """(key, h, h2, fingerprint, group, component_id) of every row; h and h2 are hashes of the text, group is never null."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    rows = spread(df.select(F.col(key).alias("key"), F.xxhash64(own).alias("h"), F.hash(own).alias("h2"), F.col(text).alias("text")))
+    marked = written(with_fingerprint(rows, "text", "fingerprint", shingle, keep_text=False), "prints")
+    prints = written(marked.groupBy("fingerprint").agg(F.min("key").alias("least")), "prints")
+    groups = components(near_links(prints, "fingerprint", budget, prefix))
+    grouped = prints.join(groups, prints.fingerprint == groups.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    ids = grouped.join(least, "group").select("fingerprint", "group", "component_id")
+    return marked.join(ids, "fingerprint").select("key", "h", "h2", "fingerprint", "group", "component_id")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3, shingle: int = 3, prefix: int | None = None) -> DataFrame:
     """df with `fingerprint` (BIGINT) and `component_id`: the smallest non-null key of the documents it is linked with, over
     any number of links, itself included.
@@ -189,20 +202,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", budg
     only has a null id. Columns of df named fingerprint or component_id are replaced. Empty tables give empty ones.
     """
     df = df.select(*(c for c in df.columns if c.lower() not in ("fingerprint", "component_id")))
-    (own,) = fresh(df, "component")
-    marked = written(with_fingerprint(spread(df.select(key, text)), text, "fingerprint", shingle, keep_text=False), "prints")
-    prints = written(marked.groupBy("fingerprint").agg(F.min(key).alias("least")), "prints")
-    groups = components(near_links(prints, "fingerprint", budget, prefix))
-    grouped = prints.join(groups, prints.fingerprint == groups.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias(own))
-    least = grouped.groupBy(own).agg(F.min("least").alias("component_id"))
-    ids = grouped.join(least, own).select("fingerprint", "component_id")
-    return marked.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
+    return _grouped(df, key, text, budget, shingle, prefix).select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
-    """One row of each group: the one with the smallest key (of repeated rows with that key, one); null keys only if the group has no other."""
-    found = near_duplicates(df, key, text, budget)
-    (n,) = fresh(df, "n")
-    wanted = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = df.join(wanted.withColumnRenamed(key, n), F.col(key).eqNullSafe(F.col(n)), "left_semi")
-    return kept.dropDuplicates([key])
+    """One row of each group: the one with the smallest key (of rows with that key, one); a null key only if the group has no other."""
+    return keep_one(df, _grouped(df, key, text, budget, 3, None), key, text)

@@ -310,3 +310,16 @@ def test_pipeline_near_copies_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = corpus_pipeline.remove_near_duplicates(spark, df, "").collect()
     assert sorted(r["text"] for r in got) == sorted({t for _, t in rows})
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    item = prose(40)
+    texts = [prose(60) for _ in range(12)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    copies = [(None, texts[2]), (1, texts[3]), (8, texts[8]), (None, texts[0])]
+    df = spark.createDataFrame(rows + copies, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted(t for _, t in got) == sorted(texts) and (2, texts[2]) in got and (1, texts[3]) in got and (None, texts[0]) in got
+    leaking = spark.createDataFrame([*rows, (None, f"{prose(9)} {item} {prose(9)}"), (5, item)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert sorted(r["text"] for r in decontaminate.drop_leaks(leaking, bench).collect()) == sorted(texts)
