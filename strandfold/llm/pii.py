@@ -2,9 +2,9 @@
 
 Patterns find protected entities (email, ip, card, phone). Corpus co-occurrence then tells which terms give an entity away:
 for a term t seen near entity c, PMI(c; t) = ln(p(c, t) / (p(c) p(t))) is compared with the information of c itself,
-IC(c) = -ln p(c), where probabilities are shares of all documents. At PMI = IC the term occurs only with the entity. Terms
-at or above `generalise_at` of IC are replaced by a placeholder, at or above `remove_at` removed, wherever they occur. A
-pair counts only if it was seen in at least `contexts` different surroundings, so copies of one text prove nothing.
+IC(c) = -ln p(c), where probabilities are shares of all different texts, so copies of one text count once. At PMI = IC the
+term occurs only with the entity. Terms at or above `generalise_at` of IC are replaced by a placeholder, at or above
+`remove_at` removed, wherever they occur. Every pair is rated, also those seen in one document.
 
 Every document pairs each entity only with the words around it, so pairs grow with the entities, not with their square.
 """
@@ -105,30 +105,31 @@ def around(text: Column, span: Column, words: int = 8, chars: int = 160) -> Colu
     return F.concat(F.slice(left, F.greatest(F.size(left) - words + 1, F.lit(1)), F.lit(words)), F.slice(right, F.lit(1), F.lit(words)))
 
 
-def disclosing_terms(found: DataFrame, text: str, spans: str, contexts: int = 3, generalise_at: float = 0.98, remove_at: float = 1.0) -> DataFrame:
+def disclosing_terms(found: DataFrame, text: str, spans: str, generalise_at: float = 0.98, remove_at: float = 1.0) -> DataFrame:
     """(term, kind): terms whose strongest PMI reaches a threshold, kind `generalise` or `remove`.
 
     found holds all documents with their base spans. Hot entities and terms are counted by partial aggregation.
     """
     near = F.transform(F.col(spans), lambda s: F.struct(entity(s).alias("entity"), around(F.col(text), s).alias("terms")))
-    seen = found.where(F.size(spans) > 0).select(F.array_distinct(near).alias("near"))
+    content = F.xxhash64(F.col(text), F.length(text))
+    seen = found.where(F.size(spans) > 0).select(content.alias("content"), F.array_distinct(near).alias("near"))
+    seen = written(seen.dropDuplicates(["content"]), "seen")
     ids = F.array_distinct(F.transform("near", lambda x: x["entity"]))
     entities = seen.select(F.explode(ids).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"), F.xxhash64(x["terms"]).alias("context"))))))
-    counted = seen.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    counted = counted.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= contexts)
-    # A term occurs in at least as many documents as it occurs in near any entity, which bounds its PMI from above: pairs
+    pairs = F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"))))))
+    counted = seen.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    # A term occurs in at least as many texts as it occurs in near any entity, which bounds its PMI from above: pairs
     # that cannot reach the threshold go before the corpus is read again.
-    total = found.agg(F.count("*").alias("n_all"))
+    total = found.select(content.alias("content")).distinct().agg(F.count("*").alias("n_all"))
     near_terms = F.array_distinct(F.flatten(F.transform("near", lambda x: x["terms"])))
     near_any = seen.select(F.explode(near_terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     counted = counted.join(entities, "entity").join(near_any, "term").join(F.broadcast(total))  # one row
     most = F.col("n_ct") * F.pow(F.col("n_all") / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-6)
     counted = written(counted.where(F.col("n_near") <= most).drop("n_near"), "pairs")
     wanted = counted.select("term").distinct()
-    # Document frequency of the terms in question, over all documents; nothing is read if there are none.
+    # Frequency of the terms in question over all different texts; nothing is read if there are none.
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
-    frequency = found.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    frequency = found.select(content.alias("content"), F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("content").alias("n_t"))
     rated = counted.join(frequency, "term")
     information = F.log(F.col("n_all") / F.col("n_c"))
     pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * F.col("n_all") / (F.col("n_c") * F.col("n_t")))
@@ -137,7 +138,7 @@ def disclosing_terms(found: DataFrame, text: str, spans: str, contexts: int = 3,
     return written(rated.where(F.col("strength") >= generalise_at - 1e-9).select("term", kind.alias("kind")), "terms")
 
 
-def sanitise(df: DataFrame, text: str = "text", out: str = "pii", clean: str = "sanitised", contexts: int = 3, generalise_at: float = 0.98, remove_at: float = 1.0) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", out: str = "pii", clean: str = "sanitised", generalise_at: float = 0.98, remove_at: float = 1.0) -> DataFrame:
     """df with `out` (array<struct<kind,start,end>>, code points, end exclusive, by kind: email, ip, card, phone,
     generalise, remove; then start) and `clean` (the text with entities as [EMAIL], [IP], [CARD], [PHONE], generalised
     terms as [TERM] and removed terms gone; where spans overlap, the first stands for all).
@@ -150,7 +151,7 @@ def sanitise(df: DataFrame, text: str = "text", out: str = "pii", clean: str = "
     whole = F.coalesce(F.col(text), F.lit(""))
     found = spread(df).withColumn(own, whole).withColumn(spans, base_spans(F.col(own)))
     # Only texts with spans need their rows written for the corpus counts; the document count and frequencies read df.
-    flagged = disclosing_terms(found, own, spans, contexts, generalise_at, remove_at)
+    flagged = disclosing_terms(found, own, spans, generalise_at, remove_at)
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))
     hits = df.select(F.xxhash64(whole, F.length(whole)).alias(h), F.explode(words).alias("term")).join(flagged, "term")
     hits = written(hits.groupBy(h).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("term", "kind")))).alias(terms)), "hits")

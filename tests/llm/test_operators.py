@@ -323,3 +323,12 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     leaking = spark.createDataFrame([*rows, (None, f"{prose(9)} {item} {prose(9)}"), (5, item)], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     assert sorted(r["text"] for r in decontaminate.drop_leaks(leaking, bench).collect()) == sorted(texts)
+
+
+def test_pii_rates_pairs_of_few_documents(spark):
+    once = f"{prose(20)} ask Quillfeather at quill@corp.example or {prose(20)}"
+    twice = [f"{prose(20)} ask Brackenbury at +1 (269) 555-3296 now {prose(20)}" for _ in range(2)]
+    rows = [once, once, once, *twice] + [f"{prose(40)} ask now or at corp example" for _ in range(200)]
+    for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect():
+        found = {rows[r["doc_id"]][s["start"] : s["end"]].lower(): s["kind"] for s in r["pii"] if s["kind"] in pii.ADDED}
+        assert found == ({"quillfeather": "remove"} if r["doc_id"] < 3 else {"brackenbury": "remove"} if r["doc_id"] < 5 else {})
