@@ -8,7 +8,6 @@ SSH key, or the decoded JSON header of a signed token. Python inside tasks: deco
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 import struct
@@ -25,7 +24,10 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+(?:\r?\n[A-Za-z0-9+/]++){0,200}+={0,2}")
+#: Where a base64 key may begin, DER sequences with M and openssh-key-v1 with b; and one more line of it, line ends escaped or not.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?=M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{32,}+")
+LINE = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*+([A-Za-z0-9+/]++)")
+PADDING = re.compile(r"={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 #: Object identifiers of private-key algorithms (RSA, EC, Ed25519, X25519), in DER.
 ALGORITHMS = [bytes.fromhex(x) for x in ("06092a864886f70d010101", "06072a8648ce3d0201", "06032b6570", "06032b656e")]
@@ -102,26 +104,70 @@ def _kind_of(data: bytes) -> str | None:
     return "der" if is_private_der(data) else "ssh" if is_ssh_private(data) else None
 
 
+def _decoded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _der_size(data: bytes) -> int | None:
+    """Bytes of the DER value that begins here, by its own length."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    k = data[1] & 0x7F
+    return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 else None
+
+
+def _ssh_size(data: bytes) -> int | None:
+    """Bytes of the openssh-key-v1 structure that begins here; None if it does not fit."""
+    at = len(b"openssh-key-v1\x00")
+    for n in range(5):
+        at += 4 * (n == 3)
+        if at + 4 > len(data):
+            return None
+        at += 4 + struct.unpack_from(">I", data, at)[0]
+    return at if at <= len(data) else None
+
+
+def _base64_key(text: str, m: re.Match) -> tuple[int, str] | None:
+    """(end, kind) of the key that begins with the line m and ends with one of the lines after it."""
+    lines, end = [m[0]], m.end()
+    size = _der_size(_decoded(m[0][:12])) if m[0][0] == "M" else None
+    if m[0][0] == "M" and size is None:
+        return None
+    need = None if size is None else size // 3 * 4 + (0, 2, 3)[size % 3]
+    ends, length = [(len(m[0]), end)], len(m[0])
+    while (need is None or length < need) and (more := LINE.match(text, end)):
+        lines.append(more[1])
+        end, length = more.end(), length + len(more[1])
+        ends.append((length, end))
+    body = "".join(lines)
+    if need is None:
+        size = _ssh_size(_decoded(body))
+        if size is None:
+            return None
+        need = size // 3 * 4 + (0, 2, 3)[size % 3]
+    stop = next((e for n, e in ends if n == need), None)
+    kind = _kind_of(_decoded(body[:need])) if stop is not None else None
+    if not kind:
+        return None
+    return PADDING.match(text, stop).end(), kind
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of one text, by start, then in the order of KINDS."""
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     for m in HEX_ANY.finditer(text):
-        if m[0][:2] == "30" and (kind := _kind_of(bytes.fromhex(m[0]))):
+        if m[0][:2].lower() in ("30", "6f") and (kind := _kind_of(bytes.fromhex(m[0]))):
             out.append((m.start(), m.end(), kind))
+    done = 0
     for m in BASE64.finditer(text):
-        if m[0][0] in "Mb":  # DER sequences begin with M, openssh-key-v1 with b
-            lines = m[0].split("\n")
-            for n in range(len(lines), 0, -1):  # a word that begins the line after a key looks like one more line of it
-                body = re.sub(r"[\s=]", "", "".join(lines[:n]))
-                try:
-                    kind = _kind_of(base64.b64decode(body + "=" * (-len(body) % 4)))
-                except binascii.Error:
-                    continue
-                if kind:
-                    out.append((m.start(), m.start() + len("\n".join(lines[:n])), kind))
-                    break
+        if m.start() >= done and (key := _base64_key(text, m)):
+            done = key[0]
+            out.append((m.start(), *key))
     out += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_header(m[0].split(".")[0])]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

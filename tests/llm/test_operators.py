@@ -332,3 +332,23 @@ def test_pii_rates_pairs_of_few_documents(spark):
     for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect():
         found = {rows[r["doc_id"]][s["start"] : s["end"]].lower(): s["kind"] for s in r["pii"] if s["kind"] in pii.ADDED}
         assert found == ({"quillfeather": "remove"} if r["doc_id"] < 3 else {"brackenbury": "remove"} if r["doc_id"] < 5 else {})
+
+
+def test_secrets_in_adjacent_lines():
+    import base64
+    import struct
+
+    rsa = bytes.fromhex("020100") + b"".join(bytes([2, 2, 1, i]) for i in range(20))
+    der = bytes([0x30, len(rsa)]) + rsa
+    field = lambda b: struct.pack(">I", len(b)) + b
+    ssh = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(b"p" * 51) + field(b"q" * 136)
+    d, k = base64.b64encode(der).decode(), base64.b64encode(ssh).decode()
+    wrapped = [k[i : i + 70] for i in range(0, len(k), 70)]
+    other = hashlib.sha256(b"x").hexdigest().upper()
+    text = "\n".join(["first", other, d, *wrapped, d, "M" * 40, d, "word"])
+    found = [(text[a:b], kind) for a, b, kind in secrets.scan(text)]
+    assert found == [(d, "der"), ("\n".join(wrapped), "ssh"), (d, "der"), (d, "der")]
+    assert [x for *_, x in secrets.scan("a " + ssh.hex() + " b") if x not in secrets.BASE] == ["ssh"]
+    for joint in ("\n    ", "\\n", "\r\n"):
+        body = joint.join(wrapped)
+        assert secrets.scan(f"key:{joint}{body}{joint}word") == [(4 + len(joint), 4 + len(joint) + len(body), "ssh")]
