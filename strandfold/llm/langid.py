@@ -216,14 +216,21 @@ def _table(model: Model) -> _Table:
     return _TABLES[own]
 
 
+#: Languages that one model can learn.
+LANGUAGES = 1000
+
+
 def training_rows(df: DataFrame, text: str, lang: str, per_language: int, chars: int) -> list[tuple[str, str]]:
     """At most about `per_language` texts of each language, chosen by a hash of the text, and of each at most `chars`
     characters from a place that the hash chooses."""
     own = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t != ''")
-    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()}
+    h = F.xxhash64("t", F.lit(11))
+    # Only different texts count: copies hash alike and are one text of the sample.
+    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.countDistinct(h).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()}
     if not counts:
         return []
-    h = F.xxhash64("t", F.lit(11))
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; none is left out silently")
     every = F.coalesce(*(F.when(F.col("l") == k, F.lit(max(1, n // per_language))) for k, n in counts.items()))
     start = F.pmod(F.xxhash64("t", F.lit(12)), F.greatest(F.length("t") - chars, F.lit(0)) + 1)
     picked = own.where(F.pmod(h, every) == 0).select(F.substr("t", (start + 1).cast("int"), F.lit(chars)).alias("t"), "l", h.alias("h"))

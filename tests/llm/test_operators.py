@@ -352,3 +352,14 @@ def test_secrets_in_adjacent_lines():
     for joint in ("\n    ", "\\n", "\r\n"):
         body = joint.join(wrapped)
         assert secrets.scan(f"key:{joint}{body}{joint}word") == [(4 + len(joint), 4 + len(joint) + len(body), "ssh")]
+
+
+def test_language_sample_of_many_copies(spark):
+    few = [(f"kalo mira {i}", "aa") for i in range(40)] * 200
+    many = [(f"schtr grmpf {i}", "bb") for i in range(700)]
+    df = spark.createDataFrame(few + many, "text string, lang string")
+    rows = langid.training_rows(df, "text", "lang", 50, 1500)
+    assert sum(lang == "aa" for _, lang in rows) == 40 and 25 <= sum(lang == "bb" for _, lang in rows) <= 90
+    langs = spark.range(langid.LANGUAGES + 1).select(F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.training_rows(langs, "text", "lang", 50, 1500)
