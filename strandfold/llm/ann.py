@@ -31,23 +31,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors (float32) of a column of codes."""
+    """Unit vectors (float32) of a column of coded()."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def coded(vectors: DataFrame, vector: str) -> DataFrame:
-    """(node, unit): the vector's components as signed bytes of its largest one, which is what travels between joins. An
-    angle's cosine changes by about a thousandth; results are scored on the original vectors."""
+    """(node, unit): the vector's components as float32 shares of its largest one, which is what travels between joins;
+    results are scored on the original vectors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for v in batch.column(vector):
                 x = v.values.to_numpy(zero_copy_only=False)
-                x = x / np.abs(x).max()
-                rows.append(np.rint(x * 127).astype(np.int8).tobytes())
+                rows.append((x / np.abs(x).max()).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], names=["node", "unit"])
 
     return vectors.select("node", vector).mapInArrow(work, "node bigint, unit binary")
@@ -241,9 +240,8 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     asking = members.where("asks").select("node").distinct()
     graph = build_graph(nodes, k)
     found = search(asking.join(nodes, "node").select(F.col("node").alias("q"), F.col("node").alias("start"), "unit"), graph, nodes, beam, k=k)
-    # Exact scores of the beam's best on the original vectors; of equal vectors the smallest keys can be enough.
-    order = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * top).select("q", "node")
+    # Exact scores of the whole beam on the original vectors; of equal vectors the smallest keys can be enough.
+    best = found.select("q", "node")
     scored = best.join(vectors.select("node", "v"), "node").join(vectors.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q").select("q", "node", cosine(F.col("qv"), F.col("v")).alias("score"))
     by_id = Window.partitionBy("node").orderBy("id")
     few = members.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= top + 1).select("id", "node")

@@ -363,3 +363,17 @@ def test_language_sample_of_many_copies(spark):
     langs = spark.range(langid.LANGUAGES + 1).select(F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
     with pytest.raises(ValueError):
         langid.training_rows(langs, "text", "lang", 50, 1500)
+
+
+def test_neighbours_near_equal(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) + 0.005 * rng.standard_normal((150, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 15 == 0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 150, 15):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 49
