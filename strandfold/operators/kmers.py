@@ -1,7 +1,8 @@
 """k-mer enumeration and exact counting.
 
-Two forms give the same rows: `enumerate_kmers` + `count_kmers` stay in SQL expressions for any k; `count_packed` (k at most
-31) slides over Arrow buffers with numpy, counts within a batch before anything is shuffled, and groups 8-byte codes.
+Two forms give the same rows: `enumerate_kmers` + `count_kmers` stay in SQL expressions for any k; `count_packed` slides
+over Arrow buffers with numpy, counts within a batch before anything is shuffled, and groups 8-byte words of 31 bases
+(one word to k = 31, five to k = 135). Long reads are cut with an overlap of k - 1 bases, so that no window is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from strandfold.functions import bases
 
+#: Bases of one 64-bit word; the sign bit stays free.
+WORD = 31
+
 
 @dataclass(frozen=True)
 class KmerConfig:
@@ -52,9 +56,24 @@ def auto_minimizer(bins: int) -> int:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than cores is dealt out: enumeration multiplies rows after it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt out if the scanned files are smaller than one split for each core: enumeration multiplies rows later.
+
+    What is moved is thereby less than cores times maxPartitionBytes, whatever the cluster; sizes come from the plan, so
+    nothing is run to find them.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(2 * cores) if scanned < cores * split else df
+
+
+def cut_reads(reads: DataFrame, k: int, most: int = 1 << 16, seq: str = "seq") -> DataFrame:
+    """Reads longer than `most` as pieces that overlap by k - 1 characters: every window of k is in exactly one piece."""
+    kept = [c for c in reads.columns if c != seq]
+    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(most))
+    return reads.where(F.col(seq).isNotNull()).select(*kept, seq, F.explode(starts).alias("_at")).select(*kept, F.substr(F.col(seq), F.col("_at") + 1, F.lit(most + k - 1)).alias(seq))
 
 
 def split_runs(reads: DataFrame, k: int = 1, seq: str = "seq") -> DataFrame:
@@ -63,19 +82,23 @@ def split_runs(reads: DataFrame, k: int = 1, seq: str = "seq") -> DataFrame:
     return reads.select(*kept, F.explode(F.filter(bases.runs(F.col(seq)), lambda r: F.length(r) >= k)).alias("run"))
 
 
-def enumerate_kmers(runs: DataFrame, k: int, canonical: bool = True) -> DataFrame:
-    """(other columns, pos, kmer): all windows of k bases; canonical: the smaller of a window and its reverse complement."""
+def enumerate_kmers(runs: DataFrame, k: int, canonical: bool = True, most: int = 1024) -> DataFrame:
+    """(other columns, pos, kmer): all windows of k bases; canonical: the smaller of a window and its reverse complement.
+
+    A run is cut into overlapping pieces first, for substring() walks from the start of what it is given.
+    """
     kept = [c for c in runs.columns if c != "run"]
-    at = runs.where(F.length("run") >= k).withColumn("rc", bases.reverse_complement(F.col("run")))
-    at = at.select(*kept, "run", "rc", F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("pos"))
-    forward = F.substring("run", F.col("pos"), F.lit(k))
-    kmer = F.least(forward, F.substring("rc", F.length("run") - k + 2 - F.col("pos"), F.lit(k))) if canonical else forward
-    return at.select(*kept, "pos", kmer.alias("kmer"))
+    cut = runs.where(F.length("run") >= k).select(*kept, "run", F.explode(F.sequence(F.lit(0), F.length("run") - k, F.lit(most))).alias("at"))
+    piece = cut.select(*kept, "at", F.substr(F.col("run"), F.col("at") + 1, F.lit(most + k - 1)).alias("run")).withColumn("rc", bases.reverse_complement(F.col("run")))
+    one = piece.select(*kept, "at", "run", "rc", F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("i"))
+    forward = F.substring("run", F.col("i"), F.lit(k))
+    kmer = F.least(forward, F.substring("rc", F.length("run") - k + 2 - F.col("i"), F.lit(k))) if canonical else forward
+    return one.select(*kept, (F.col("at") + F.col("i")).alias("pos"), kmer.alias("kmer"))
 
 
 def count_kmers(reads: DataFrame, k: int, canonical: bool = True, seq: str = "seq") -> DataFrame:
     """(kmer, cnt) of all distinct k-mers."""
-    kmers = enumerate_kmers(split_runs(dealt(reads.select(seq)), k, seq), k, canonical)
+    kmers = enumerate_kmers(split_runs(cut_reads(dealt(reads.select(seq)), k, seq=seq), k, seq), k, canonical)
     return kmers.groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
@@ -88,66 +111,123 @@ for _i, _b in enumerate(bases.BASES):
     _CODES[ord(_b)] = _CODES[ord(_b.lower())] = _i
 
 
-def window_codes(data: np.ndarray, offsets: np.ndarray, k: int, canonical: bool) -> np.ndarray:
-    """Packed codes of every window of k bases that lies in one text. Windows double in width: log2(k) passes."""
+def valid_windows(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """Which windows of k bytes hold only bases of one text."""
     n = len(data)
-    if n < k:
-        return np.zeros(0, np.int64)
-    codes = _CODES[data]
-    bad = np.concatenate([[0], np.cumsum(codes > 3)])
-    valid = bad[k:] == bad[:-k]
+    bad = np.concatenate([[0], np.cumsum(_CODES[data] > 3)])
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    valid &= ends[: n - k + 1] - np.arange(n - k + 1) >= k
-    unit_f = (codes & 3).astype(np.int64)
-    unit_r = 3 - unit_f
-    forward = reverse = None
-    done, width, bits = 0, 1, k
-    while bits:
-        if bits & 1:
-            if forward is None:
-                forward, reverse = unit_f, unit_r
-            else:
-                size = min(len(forward), len(unit_f) - done)
-                forward = (forward[:size] << 2 * width) | unit_f[done : done + size]
-                reverse = reverse[:size] | (unit_r[done : done + size] << 2 * done)
-            done += width
-        bits >>= 1
-        if bits:
-            size = len(unit_f) - width
-            unit_f = (unit_f[:size] << 2 * width) | unit_f[width:]
-            unit_r = unit_r[:size] | (unit_r[width:] << 2 * width)
-            width *= 2
-    forward, reverse = forward[: n - k + 1], reverse[: n - k + 1]
-    return (np.minimum(forward, reverse) if canonical else forward)[valid]
-
-
-def count_packed(reads: DataFrame, k: int, canonical: bool = True, seq: str = "seq", most: int = 4 << 20) -> DataFrame:
-    """(code, cnt) with BIGINT codes, k at most 31."""
-    if k > 31:
-        raise ValueError("packed codes hold at most 31 bases")
+    return (bad[k:] == bad[:-k]) & (ends[: n - k + 1] - np.arange(n - k + 1) >= k)
+
+
+def strand_codes(data: np.ndarray, widths: set[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width (at most 31) the codes of all windows and of their reverse complements, from windows that double."""
+    codes = (_CODES[data] & 3).astype(np.int64)
+    unit_f, unit_r, width = codes, 3 - codes, 1
+    out: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+    while True:
+        for want in widths:
+            if want & width:
+                if want not in out:
+                    out[want] = unit_f, unit_r, width
+                else:
+                    f, r, done = out[want]
+                    size = min(len(f), len(unit_f) - done)
+                    out[want] = (f[:size] << 2 * width) | unit_f[done : done + size], r[:size] | (unit_r[done : done + size] << 2 * done), done + width
+        if 2 * width > max(widths):
+            return {w: (f[: len(data) - w + 1], r[: len(data) - w + 1]) for w, (f, r, _) in out.items()}
+        size = len(unit_f) - width
+        unit_f, unit_r = (unit_f[:size] << 2 * width) | unit_f[width:], unit_r[:size] | (unit_r[width:] << 2 * width)
+        width *= 2
+
+
+def window_words(data: np.ndarray, offsets: np.ndarray, k: int, canonical: bool) -> list[np.ndarray]:
+    """The words, 31 bases each and the rest, of every window of k bases that lies in one text."""
+    places = list(range(0, k, WORD))
+    if len(data) < k:
+        return [np.zeros(0, np.int64)] * len(places)
+    at = np.flatnonzero(valid_windows(data, offsets, k))
+    last = k - places[-1]
+    codes = strand_codes(data, {last, min(WORD, k)})
+    width = [min(WORD, k - p) for p in places]
+    forward = [codes[w][0][at + p] for w, p in zip(width, places, strict=True)]
+    if not canonical:
+        return forward
+    reverse = [codes[w][1][at + k - p - w] for w, p in zip(width, places, strict=True)]
+    swap, same = np.zeros(len(at), bool), np.ones(len(at), bool)
+    for f, r in zip(forward, reverse, strict=True):
+        swap |= same & (r < f)
+        same &= r == f
+    return [np.where(swap, r, f) for f, r in zip(forward, reverse, strict=True)]
+
+
+def window_codes(data: np.ndarray, offsets: np.ndarray, k: int, canonical: bool) -> np.ndarray:
+    """Packed codes of every window of k bases (at most 31) that lies in one text."""
+    return window_words(data, offsets, k, canonical)[0]
+
+
+def tallied(words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(words, counts) of equal rows of words. Rows may stay apart if hashes of several words collide; sums come later."""
+    if len(words) == 1:
+        found, n = np.unique(words[0], return_counts=True)
+        return [found], n
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h)
+    words = [w[order] for w in words]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+    first = np.flatnonzero(new)
+    return [w[first] for w in words], np.diff(np.append(first, len(order)))
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column without a copy of the bytes; nulls are empty."""
+    col = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
+    if not len(col) or col.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
+    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1 + col.offset)[col.offset :]
+    return np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, k: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of `most` window starts at a time, wherever texts end; pieces overlap by k - 1 bytes."""
+    for at in range(0, max(len(data) - k + 1, 0), most):
+        end = min(len(data), at + most + k - 1)
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end, "left")]
+        yield data[at:end], np.concatenate([[at], inner, [end]]) - at
+
+
+def words_of(k: int) -> list[str]:
+    """The word columns of packed k-mers: `code` to 31 bases, else w0, w1, ..."""
+    return ["code"] if k <= WORD else [f"w{i}" for i in range(-(-k // WORD))]
+
+
+def count_packed(reads: DataFrame, k: int, canonical: bool = True, seq: str = "seq", most: int = 1 << 20) -> DataFrame:
+    """(words_of(k), cnt): BIGINT words of 31 bases and the rest."""
+    names = words_of(k)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(0).fill_null("").cast(pa.large_string())
-            offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1 + col.offset)[col.offset :]
-            data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and col.buffers()[2] is not None else np.zeros(0, np.uint8)
-            i = 0
-            while i < len(col):
-                j = min(len(col), max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
-                found, n = np.unique(window_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, canonical), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
-                i = j
+            for data, offsets in pieces(*buffers(batch.column(0)), k, most):
+                words, n = tallied(window_words(data, offsets, k, canonical))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n.astype(np.int64))], names=[*names, "n"])
+
+    schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
+    return dealt(reads.select(seq)).mapInArrow(work, schema).groupBy(*names).agg(F.sum("n").alias("cnt"))
 
-    return dealt(reads.select(seq)).mapInArrow(work, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("cnt"))
+
+def spelled(k: int) -> Column:
+    """The k-mer of its word columns."""
+    return F.concat(*(bases.from_code(F.col(c), min(WORD, k - i * WORD)) for i, c in enumerate(words_of(k))))
 
 
 def count(reads: DataFrame, config: KmerConfig = KmerConfig(), seq: str = "seq", unfiltered: bool = False) -> DataFrame:
-    """(kmer, cnt): the engine's default path, packed where codes fit; k-mers are spelled out after the threshold."""
-    least = 1 if unfiltered else config.min_count
-    if config.k > 31:
-        return at_least(count_kmers(reads, config.k, config.canonical, seq), least)
-    codes = at_least(count_packed(reads, config.k, config.canonical, seq), least)
-    return codes.select(bases.from_code(F.col("code"), config.k).alias("kmer"), "cnt")
+    """(kmer, cnt): the engine's default path, packed; k-mers are spelled out after the threshold."""
+    counts = at_least(count_packed(reads, config.k, config.canonical, seq), 1 if unfiltered else config.min_count)
+    return counts.select(spelled(config.k).alias("kmer"), "cnt")
 
 
 def histogram(counts: DataFrame, size: int = 512) -> DataFrame:
@@ -159,10 +239,17 @@ def histogram(counts: DataFrame, size: int = 512) -> DataFrame:
 
 
 def histogram_lines(hist: DataFrame, size: int = 512) -> DataFrame:
-    """(ord, line): the histogram as text lines, largest bucket last."""
-    rows = hist.select(F.when(F.col("bucket") == 0, size).otherwise(F.col("bucket")).alias("ord"), F.when(F.col("bucket") == 0, F.concat(F.lit(f">={size}; "), F.col("n_kmers").cast("string"))).otherwise(F.format_string("  %3d; %9d", "bucket", "n_kmers")).alias("line"))
+    """(ord, line): the histogram as text lines, largest bucket last; numbers padded to three and nine places."""
+    large = F.col("bucket") == 0
+    at = F.when(large, size).otherwise(F.col("bucket"))
+    line = F.concat(F.when(large, F.lit(">=")).otherwise(F.lit("  ")), F.format_string("%3d; %9d", at, "n_kmers"))
     head = hist.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("ord"), F.lit("counter; number of uk-mers").alias("line"))
-    return head.union(rows)
+    return head.union(hist.select(at.alias("ord"), line.alias("line")))
+
+
+def write_histogram(hist: DataFrame, path: str, size: int = 512) -> None:
+    """The histogram's lines in order as one text file of the folder `path`; size + 1 lines whatever the input."""
+    histogram_lines(hist, size).orderBy("ord").coalesce(1).select("line").write.text(path)
 
 
 def summary(counts: DataFrame, min_count: int) -> DataFrame:

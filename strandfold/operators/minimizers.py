@@ -1,15 +1,20 @@
 """Minimizer ranks, bins and super-mers.
 
-The table of 4^m m-mers (at most 262,144 rows) is bounded by the parameter range, so it is broadcast.
+The table of 4^m m-mers (at most 262,144 rows) is bounded by the parameter range, so it is broadcast. Bins come from a
+rolling minimum over Arrow buffers: nothing is shuffled until super-mers or their counts are grouped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandfold.functions import bases
-from strandfold.operators.kmers import split_runs
+from strandfold.operators.kmers import buffers, dealt, pieces, strand_codes, tallied, valid_windows, window_words, words_of
 
 
 def rank_table(spark: SparkSession, m: int, bins: int) -> DataFrame:
@@ -35,35 +40,71 @@ def rank_table(spark: SparkSession, m: int, bins: int) -> DataFrame:
     return ranked.select("mmer", "allowed", "rnk", pyramid.cast("bigint").alias("bin"))
 
 
-def kmer_bins(reads: DataFrame, k: int, m: int, bins: int, canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(other columns, run_id, run, pos, bin): the bin of each k-mer's minimizer, the m-mer of lowest rank in it.
-
-    The rank of every m-mer of a run is joined once; the rolling minimum is a window over the run's positions.
-    """
-    table = rank_table(reads.sparkSession, m, bins)
-    runs = split_runs(reads, k, seq).withColumn("run_id", F.monotonically_increasing_id())
-    kept = [c for c in runs.columns if c not in ("run_id", "run")]
-    at = runs.select(*kept, "run_id", "run", F.explode(F.sequence(F.lit(1), F.length("run") - m + 1)).alias("pos"))
-    one = F.substring("run", F.col("pos"), F.lit(m))
-    at = at.withColumn("mmer", F.least(one, bases.reverse_complement(one)) if canonical else one).join(F.broadcast(table.select("mmer", "rnk", "bin")), "mmer")
-    ahead = Window.partitionBy("run_id").orderBy("pos").rowsBetween(0, k - m)
-    least = at.withColumn("bin", F.min(F.struct("rnk", "bin")).over(ahead)["bin"])
-    return least.where(F.col("pos") <= F.length("run") - k + 1).select(*kept, "run_id", "run", "pos", "bin")
+def _least_in_windows(values: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of every w consecutive values, from running minima within blocks of w in both directions."""
+    padded = np.full(-(-len(values) // w) * w + w, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    blocks = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(values) - w + 1
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def supermers(reads: DataFrame, k: int, m: int, bins: int, canonical: bool = True, seq: str = "seq") -> DataFrame:
+def supermers(reads: DataFrame, k: int, m: int, bins: int, canonical: bool = True, seq: str = "seq", most: int = 1 << 20) -> DataFrame:
     """(bin, seq, n_kmers): maximal stretches of consecutive k-mers of one bin, as in staging. Their number is this
-    engine's own; the k-mers they hold are not."""
-    at = kmer_bins(reads, k, m, bins, canonical, seq)
-    order = Window.partitionBy("run_id").orderBy("pos")
-    at = at.withColumn("cut", F.coalesce((F.lag("bin").over(order) != F.col("bin")).cast("int"), F.lit(0))).withColumn("island", F.sum("cut").over(order))
-    whole = at.groupBy("run_id", "island").agg(F.min("bin").alias("bin"), F.min("pos").alias("first"), F.count("*").alias("n_kmers"), F.first("run").alias("run"))
-    return whole.select("bin", F.substring("run", F.col("first"), (F.col("n_kmers") + k - 1).cast("int")).alias("seq"), "n_kmers")
-
-
-def bin_stats(at: DataFrame, kmers: DataFrame | None = None) -> DataFrame:
-    """(bin, kmers) of kmer_bins()."""
-    return at.groupBy("bin").agg(F.count("*").alias("kmers"))
+    engine's own; the k-mers they hold are not. A k-mer's bin is that of the m-mer of lowest rank in it."""
+    table = rank_table(reads.sparkSession, m, bins).select(bases.packed_code(F.col("mmer")).alias("code"), "rnk", "bin").toPandas()
+    rank_of, bin_of = np.empty(4**m, np.int32), np.empty(4**m, np.int32)
+    rank_of[table["code"]], bin_of[table["rnk"]] = table["rnk"], table["bin"]
+    shared = reads.sparkSession.sparkContext.broadcast((rank_of, bin_of))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_of, bin_of = shared.value
+        for batch in batches:
+            for data, offsets in pieces(*buffers(batch.column(0)), k, most):
+                valid = valid_windows(data, offsets, k)
+                forward, reverse = strand_codes(data, {m})[m]
+                at = bin_of[_least_in_windows(rank_of[np.minimum(forward, reverse) if canonical else forward], k - m + 1)]
+                starts = np.flatnonzero(valid)
+                if not len(starts):
+                    continue
+                first = starts[np.append(True, (np.diff(starts) != 1) | (np.diff(at[starts]) != 0))]
+                n = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
+                sizes = n + k - 1
+                ends = np.cumsum(sizes)
+                upper = np.where(data >= 97, data - 32, data)
+                text = upper[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])]
+                made = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(text))
+                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), made.cast(pa.string()), pa.array(n.astype(np.int64))], names=["bin", "seq", "n_kmers"])
+
+    return dealt(reads.select(seq)).mapInArrow(work, "bin bigint, seq string, n_kmers bigint")
+
+
+def count_by_bin(staged: DataFrame, k: int, canonical: bool = True, most: int = 1 << 20) -> DataFrame:
+    """(bin, words of the k-mer, cnt) of super-mers (bin, seq, n_kmers)."""
+    names = ["bin", *words_of(k)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("seq"))
+            owner = np.repeat(batch.column("bin").to_numpy(), batch.column("n_kmers").to_numpy())
+            done = 0
+            for part, inner in pieces(data, offsets, k, most):
+                words = window_words(part, inner, k, canonical)
+                own = owner[done : done + len(words[0])]
+                done += len(own)
+                found, n = tallied([own, *words])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(n.astype(np.int64))], names=[*names, "n"])
+
+    schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
+    return staged.select("bin", "seq", "n_kmers").mapInArrow(work, schema).groupBy(*names).agg(F.sum("n").alias("cnt"))
+
+
+def bin_stats(staged: DataFrame, bins: int) -> DataFrame:
+    """(bin, kmers) of super-mers, one row for each of the `bins` bins, empty ones too."""
+    found = staged.groupBy("bin").agg(F.sum("n_kmers").alias("n"))
+    return staged.sparkSession.range(bins).withColumnRenamed("id", "bin").join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("kmers"))
 
 
 def bin_order(stats: DataFrame, bins: int) -> DataFrame:
@@ -71,7 +112,7 @@ def bin_order(stats: DataFrame, bins: int) -> DataFrame:
     small = Window.orderBy("kmers", "bin")  # at most 4096 rows
     ranked = stats.withColumn("r", F.row_number().over(small).cast("bigint"))
     quarter = bins // 4
-    return ranked.select("bin", "kmers", F.when(F.col("r") <= quarter, F.least(F.lit(quarter), F.count("*").over(Window.partitionBy())) + 1 - F.col("r")).otherwise(F.col("r")).cast("bigint").alias("ord"))
+    return ranked.select("bin", "kmers", F.when(F.col("r") <= quarter, quarter + 1 - F.col("r")).otherwise(F.col("r")).cast("bigint").alias("ord"))
 
 
 def bin_size_stats(stats: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from strandfold.functions import bases
 from strandfold.operators import kmers, minimizers
 from strandfold.operators.kmers import KmerConfig, auto_minimizer
+from strandfold.plans import job, staged
+from strandfold.plans.job import scratch
 from strandfold.sources import fastx, packed
 
 FLAGSHIP = KmerConfig()
@@ -128,14 +129,17 @@ def minimizer_rank_m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimizers.rank_table(spark, 7, 512)
 
 
+def _supermers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimizers.supermers(documents(spark, sf_dir).select("seq"), 28, M, BINS)
+
+
 def kmers_per_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minimizers.bin_stats(minimizers.kmer_bins(documents(spark, sf_dir).select("seq"), 28, M, BINS))
+    return minimizers.bin_stats(_supermers(spark, sf_dir), BINS)
 
 
 def distinct_kmers_per_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = minimizers.kmer_bins(documents(spark, sf_dir).select("seq"), 28, M, BINS)
-    f = F.substring("run", F.col("pos"), F.lit(28))
-    return at.select("bin", F.least(f, bases.reverse_complement(f)).alias("kmer")).groupBy("bin").agg(F.count("*").alias("kmers"), F.countDistinct("kmer").alias("ukmers"))
+    counts = minimizers.count_by_bin(_supermers(spark, sf_dir), 28)
+    return counts.groupBy("bin").agg(F.sum("cnt").alias("kmers"), F.count("*").alias("ukmers"))
 
 
 def bin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +150,24 @@ def bin_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimizers.bin_size_stats(kmers_per_bin(spark, sf_dir))
 
 
+def empty_bins_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bins in order, of reads so few that most bins are empty."""
+    few = table(spark, sf_dir, "region").select(bases.from_text(F.col("r_name")).alias("seq"))
+    return minimizers.bin_order(minimizers.bin_stats(minimizers.supermers(few, 8, M, BINS), BINS), BINS)
+
+
 def supermers_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = minimizers.supermers(documents(spark, sf_dir).select("seq"), 28, M, BINS)
-    return rows.groupBy("bin").agg(F.sum("n_kmers").alias("kmers"), F.sum(F.length("seq") - 27).alias("by_length"))
+    return _supermers(spark, sf_dir).groupBy("bin").agg(F.sum("n_kmers").alias("kmers"), F.sum(F.length("seq") - 27).alias("by_length"))
+
+
+STAGED = KmerConfig(28, 3, bins=BINS, m=M)
 
 
 def staged_equals_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = minimizers.supermers(documents(spark, sf_dir).select("seq"), 28, M, BINS)
-    return kmers.count(rows.select("seq"), FLAGSHIP)
+    """Super-mers written by bin in the shared folder, counted from there."""
+    path = scratch(spark, "staged")
+    staged.stage_supermers(documents(spark, sf_dir).select("seq"), STAGED, path)
+    return staged.count_staged(spark, path, STAGED)
 
 
 NAMES = ["a.fastq", "b.fq.gz", "c.fasta", "d.fa.bz2", "e.ml", "f.ml.gz", "g.FASTA", "h.txt.gz", "i", "j.fa.zip", "k.gz"]
@@ -192,14 +206,77 @@ def lineitem_sequence_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.count(reads.select("seq"), KmerConfig(8, 1))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.regexp_replace("seq", r"[\r\n]", "N").alias("seq"))
+
+
+def _written_lines(spark: SparkSession, line, sf_dir: str, codec: str) -> str:
+    path = scratch(spark, "reads")
+    _lines(spark, sf_dir).select(line).write.option("compression", codec).text(path)
+    return path
+
+
 def fastx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads written as text in the warehouse and read back through the line and FASTA sources."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/reads-{uuid.uuid4().hex}"
-    reads = documents(spark, sf_dir).select("doc_id", F.regexp_replace("seq", r"[\r\n]", "N").alias("seq"))
-    reads.select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), "seq")).write.text(folder)
-    body = F.regexp_replace("value", r"^[^\n]*\n?", "")
-    back = spark.read.option("lineSep", "\n>").text(folder).select(F.regexp_replace(body, r"[\r\n]", "").alias("seq"))
-    return kmers.count(back, FLAGSHIP)
+    """Reads written as plain FASTA in the shared folder and read back through the source."""
+    line = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), "seq")
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, line, sf_dir, "none"), "fasta"), FLAGSHIP)
+
+
+def fasta_bzip2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA with its bases in lines of at most 60, CRLF, bzip2."""
+    wrapped = F.regexp_replace("seq", "(.{60})", "$1\r\n")
+    line = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\r\n"), wrapped)
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, line, sf_dir, "bzip2"), "fasta"), FLAGSHIP)
+
+
+def _fastq_line():
+    quality = F.regexp_replace("seq", "(?s).", "@")
+    return F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), quality)
+
+
+def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, _fastq_line(), sf_dir, "none"), "fastq"), FLAGSHIP)
+
+
+def fastq_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, _fastq_line(), sf_dir, "gzip"), "fastq"), FLAGSHIP)
+
+
+def lines_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, F.col("seq"), sf_dir, "gzip"), "lines"), FLAGSHIP)
+
+
+def packed_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with packed output, staging and both side outputs; its binary files read back."""
+    out, staging = scratch(spark, "packed"), scratch(spark, "staged")
+    job.run(spark, documents(spark, sf_dir), out, STAGED, "packed", staging)
+    return packed.read_packed(spark, out, 28)
+
+
+def packed_to_fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed files turned into FASTA text, whose lines are read back."""
+    out, fasta = scratch(spark, "packed"), scratch(spark, "fasta")
+    job.run(spark, documents(spark, sf_dir), out, FLAGSHIP, "packed")
+    packed.packed_to_fasta(spark, out, 28, fasta)
+    lines = spark.read.option("lineSep", "\n>").text(fasta)
+    return lines.select(F.concat(F.lit(">"), F.regexp_replace("value", "^>|\n$", "")).alias("line"))
+
+
+def histogram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram's text file read back, its lines numbered by what they say."""
+    path = scratch(spark, "histogram")
+    kmers.write_histogram(histogram_512(spark, sf_dir), path)
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.select(F.coalesce(F.regexp_extract("line", "^..([ 0-9]{3});", 1).try_cast("bigint"), F.lit(0).cast("bigint")).alias("ord"), "line")
+
+
+def bin_stats_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins' statistics file read back; the number of super-mers, which is this engine's own, left out."""
+    staging, path = scratch(spark, "staged"), scratch(spark, "bins")
+    staged.stage_supermers(documents(spark, sf_dir).select("seq"), STAGED, staging)
+    job.write_bin_stats(spark, staging, STAGED, path)
+    part = F.split("value", "\t")
+    return spark.read.text(path).select(*(part[i].cast("bigint").alias(c) for i, c in ((0, "bin"), (2, "kmers"), (3, "ukmers"))))
 
 
 def _ranks_sql(m: int, bins: int) -> str:
@@ -214,15 +291,16 @@ qs AS (SELECT *, (rnk + ((rnk // {b}) * {b}) // {p}) % {b} - {bins} AS x FROM rk
 ranks AS (SELECT mmer, allowed, rnk, (CASE WHEN rnk < {whole} THEN CASE WHEN x < 0 THEN -x - 1 ELSE x END ELSE {bins} - 1 - rnk % {bins} END)::BIGINT AS bin FROM qs)"""
 
 
-def _bins_sql(k: int = 28, m: int = M, bins: int = BINS) -> str:
-    return f"""WITH {READS}, {RUNS}, {_ranks_sql(m, bins)},
+def _bins_sql(k: int = 28, m: int = M, bins: int = BINS, reads: str = READS) -> str:
+    return f"""WITH {reads}, {RUNS}, {_ranks_sql(m, bins)},
 numbered AS (SELECT row_number() OVER () AS rid, run FROM runs WHERE length(run) >= {k}),
 mpos AS (SELECT rid, run, unnest(range(1, length(run) - {m} + 2)) AS i FROM numbered),
 mm AS (SELECT rid, run, i, least(substr(run, i::INT, {m}), translate(reverse(substr(run, i::INT, {m})), 'ACGT', 'TGCA')) AS mmer FROM mpos),
 joined AS (SELECT rid, run, i, rnk FROM mm JOIN ranks USING (mmer)),
 rolled AS (SELECT rid, run, i, min(rnk) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - m} FOLLOWING) AS rnk FROM joined),
 kb AS (SELECT rid, run, i, ranks.bin FROM rolled JOIN ranks USING (rnk) WHERE i <= length(run) - {k} + 1),
-stats AS (SELECT bin, count(*) AS kmers FROM kb GROUP BY bin)"""
+found AS (SELECT bin, count(*) AS kmers FROM kb GROUP BY bin),
+stats AS (SELECT r.range AS bin, coalesce(kmers, 0) AS kmers FROM range(0, {bins}) r LEFT JOIN found ON found.bin = r.range)"""
 
 
 def _sql() -> dict[str, str]:
@@ -235,7 +313,7 @@ def _sql() -> dict[str, str]:
     out["palindromes_even_k"] = counts_sql(8) + " SELECT kmer, cnt FROM counts WHERE kmer = translate(reverse(kmer), 'ACGT', 'TGCA')"
     hist = counts_sql(12) + ", h AS (SELECT CASE WHEN cnt < 512 THEN cnt ELSE 0 END AS bucket, count(*) AS n FROM counts GROUP BY 1), hist AS (SELECT r.range AS bucket, coalesce(n, 0) AS n_kmers FROM range(0, 512) r LEFT JOIN h ON h.bucket = r.range)"
     out["histogram_512"] = hist + " SELECT bucket, n_kmers FROM hist"
-    out["histogram_csv_lines"] = hist + " SELECT CASE WHEN bucket = 0 THEN 512 ELSE bucket END AS ord, CASE WHEN bucket = 0 THEN '>=512; ' || n_kmers ELSE '  ' || lpad(bucket::VARCHAR, 3, ' ') || '; ' || lpad(n_kmers::VARCHAR, 9, ' ') END AS line FROM hist UNION ALL SELECT 0, 'counter; number of uk-mers'"
+    out["histogram_csv_lines"] = hist + " SELECT CASE WHEN bucket = 0 THEN 512 ELSE bucket END AS ord, CASE WHEN bucket = 0 THEN '>=512; ' || lpad(n_kmers::VARCHAR, 9, ' ') ELSE '  ' || lpad(bucket::VARCHAR, 3, ' ') || '; ' || lpad(n_kmers::VARCHAR, 9, ' ') END AS line FROM hist UNION ALL SELECT 0, 'counter; number of uk-mers'"
     out["summary_totals"] = counts_sql(28) + " SELECT coalesce(sum(cnt), 0)::BIGINT AS kmers, count(*) AS ukmers, count(*) FILTER (WHERE cnt < 3) AS below_threshold FROM counts"
     out["base_totals"] = f"WITH {READS}, {RUNS}, t AS (SELECT sum(length(run)) AS b, sum(greatest(length(run) - 27, 0)) AS n FROM runs) SELECT (SELECT count(*) FROM reads) AS reads, coalesce(b, 0)::BIGINT AS bases, coalesce(n, 0)::BIGINT AS kmers FROM t"
     code = "list_sum([(position(substr(kmer, j::INT, 1) IN 'ACGT') - 1) * (1::BIGINT << (2 * (12 - j))::INT) FOR j IN range(1, 13)])::BIGINT"
@@ -251,10 +329,15 @@ def _sql() -> dict[str, str]:
     canon = "least(substr(run, i::INT, 28), translate(reverse(substr(run, i::INT, 28)), 'ACGT', 'TGCA'))"
     out["distinct_kmers_per_bin"] = _bins_sql() + f" SELECT bin, count(*) AS kmers, count(DISTINCT {canon}) AS ukmers FROM kb GROUP BY bin"
     q = BINS // 4
-    out["bin_order"] = _bins_sql() + f", o AS (SELECT *, row_number() OVER (ORDER BY kmers, bin) AS r, count(*) OVER () AS n FROM stats) SELECT bin, kmers, CASE WHEN r <= {q} THEN least({q}, n) + 1 - r ELSE r END AS ord FROM o"
+    ordered = f", o AS (SELECT *, row_number() OVER (ORDER BY kmers, bin) AS r FROM stats) SELECT bin, kmers, CASE WHEN r <= {q} THEN {q} + 1 - r ELSE r END AS ord FROM o"
+    out["bin_order"] = _bins_sql() + ordered
+    out["empty_bins_stats"] = _bins_sql(8, reads=f"reads AS (SELECT 0 AS id, {ADAPT.format('r_name')} AS seq FROM region)") + ordered
+    out["bin_stats_file"] = _bins_sql() + f", u AS (SELECT bin, count(DISTINCT {canon}) AS ukmers FROM kb GROUP BY bin) SELECT bin, kmers, coalesce(ukmers, 0) AS ukmers FROM stats LEFT JOIN u USING (bin)"
     out["bin_size_stats"] = _bins_sql() + " SELECT count(*) AS n_bins, min(kmers) AS min_kmers, max(kmers) AS max_kmers, round(avg(kmers), 6) AS avg_kmers, round(stddev_samp(kmers), 4) AS sd_kmers, sum(kmers)::BIGINT AS sum_kmers FROM stats"
-    out["supermers_by_bin"] = _bins_sql() + " SELECT bin, kmers, kmers AS by_length FROM stats"
-    out["staged_equals_direct"] = out["fastx_roundtrip"] = counts_sql(28, 3) + " SELECT kmer, cnt FROM counts"
+    out["supermers_by_bin"] = _bins_sql() + " SELECT bin, kmers, kmers AS by_length FROM found"
+    for name in ("staged_equals_direct", "fastx_roundtrip", "fasta_bzip2_roundtrip", "fastq_roundtrip", "fastq_gzip_roundtrip", "lines_gzip_roundtrip", "packed_file_roundtrip"):
+        out[name] = counts_sql(28, 3) + " SELECT kmer, cnt FROM counts"
+    out["packed_to_fasta_lines"], out["histogram_file"] = out["fasta_lines"], out["histogram_csv_lines"]
     values = ", ".join(f"('{n}')" for n in NAMES)
     out["file_type_detection"] = f"""WITH v(name) AS (VALUES {values}),
 c AS (SELECT name, CASE WHEN name LIKE '%.gz' THEN 'gzip' WHEN name LIKE '%.bz2' THEN 'bzip2' ELSE 'none' END AS codec, regexp_extract(regexp_replace(name, '\\.(gz|bz2)$', ''), '\\.([^.]*)$', 1) AS ext FROM v)
@@ -274,7 +357,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         base_class_counts, acgt_runs, short_run_filter, kmers_per_doc, revcomp_runs, palindromes_even_k, histogram_512, histogram_csv_lines, summary_totals, base_totals, kmer_packed_code,
         packed_record_hex, packed_roundtrip, fasta_lines, minimizer_rank_m5, minimizer_rank_m7, kmers_per_bin, distinct_kmers_per_bin, bin_order, bin_size_stats, supermers_by_bin, staged_equals_direct,
-        file_type_detection, auto_minimizer_length, multi_source_union_count, event_sequence_kmers, lineitem_sequence_kmers, fastx_roundtrip,
+        file_type_detection, auto_minimizer_length, multi_source_union_count, event_sequence_kmers, lineitem_sequence_kmers, fastx_roundtrip, fasta_bzip2_roundtrip, fastq_roundtrip, fastq_gzip_roundtrip,
+        lines_gzip_roundtrip, packed_file_roundtrip, packed_to_fasta_lines, histogram_file, bin_stats_file, empty_bins_stats,
     )
     return _kmer_queries()[0] | {f.__name__: f for f in own}
 

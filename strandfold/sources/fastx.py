@@ -1,48 +1,58 @@
-"""Reads from FASTA, FASTQ and line-per-read files, plain, gzip or bzip2; and packed counts.
+"""Reads from FASTA, FASTQ and line-per-read files, plain, gzip or bzip2, from any storage that Spark reads.
 
-FASTA and line-per-read files go through Spark's text reader, which splits plain and bzip2 files. A FASTQ record can only
-be told from the one before it, so such files are read whole, one task a file, by a Python data source.
+All go through Spark's text reader, which decompresses, and splits plain and bzip2 files. The lines of a FASTQ file's
+first split are parsed record by record, so a file that is not split may hold records of any number of lines. Later splits
+begin in the middle of a record: there lines count in fours, the place in the four being found from the lines themselves.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Extensions of types and codecs, case-sensitive.
 TYPES = {"fastq": "fastq", "fq": "fastq", "fasta": "fasta", "fa": "fasta", "ml": "lines"}
 CODECS = {"gz": "gzip", "bz2": "bzip2"}
 
 
 def file_kind(path: str) -> tuple[str, str]:
     """(type, codec) by the extensions, case-sensitive; type `unknown` for others."""
-    name, _, last = os.path.basename(path).rpartition(".")
+    name, _, last = path.rpartition("/")[2].rpartition(".")
     codec = CODECS.get(last, "none")
     if codec != "none":
         last = name.rpartition(".")[2]
     return TYPES.get(last, "unknown"), codec
 
 
-def expand(path: str) -> list[str]:
-    """A file is itself; a directory its files, not recursive; a .txt file lists one path a line."""
-    if os.path.isdir(path):
-        found = sorted(os.path.join(path, f) for f in os.listdir(path) if not os.path.isdir(os.path.join(path, f)))
-    elif path.endswith(".txt"):
-        with open(path) as f:
-            found = [line.strip() for line in f if line.strip()]
+def expand(spark: SparkSession, path: str, kind: str | None = None) -> list[str]:
+    """A file is itself; a directory its files, not recursive and without Spark's own marks; a .txt file lists one path a
+    line. Paths are of any file system that Spark knows. kind: the type of files whose names do not tell it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def status(p: str):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            raise ValueError(f"no such file: {p}")
+        return fs, fs.getFileStatus(at)
+
+    fs, own = status(path)
+    if own.isDirectory():
+        inner = [s for s in fs.listStatus(own.getPath()) if s.isFile()]
+        found = sorted(str(s.getPath()) for s in inner if s.getPath().getName()[0] not in "._")
+    elif path.endswith(".txt") and kind is None:
+        found = [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
+        for p in found:
+            status(p)
     else:
         found = [path]
-    for p in found:
-        if not os.path.exists(p):
-            raise ValueError(f"no such file: {p}")
     if not found:
         raise ValueError(f"no files in {path}")
-    kinds = {file_kind(p)[0] for p in found}
+    kinds = {kind or file_kind(p)[0] for p in found}
     if "unknown" in kinds or len(kinds) > 1:
         raise ValueError(f"files of unknown or different types: {sorted(kinds)}")
     return found
@@ -50,7 +60,6 @@ def expand(path: str) -> list[str]:
 
 def fastq_reads(lines: Iterator[str]) -> Iterator[str]:
     """Sequences of FASTQ records: lines up to `+`, then as many quality characters as bases."""
-    lines = (x.rstrip("\r\n") for x in lines)
     for line in lines:
         if not line.startswith("@"):
             continue
@@ -59,6 +68,8 @@ def fastq_reads(lines: Iterator[str]) -> Iterator[str]:
             if line.startswith("+"):
                 break
             parts.append(line)
+        if not parts:
+            continue
         seq, seen = "".join(parts), 0
         while seen < len(seq):
             quality = next(lines, None)
@@ -68,51 +79,54 @@ def fastq_reads(lines: Iterator[str]) -> Iterator[str]:
         yield seq
 
 
-class FastqSource(DataSource):
-    """format("fastq"), option paths: the files, one a line."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
+def _place(lines: list[str]) -> int:
+    """The place in its record (0: header, 1: bases, 2: `+`, 3: quality) of the first of the lines."""
 
-    def schema(self) -> str:
-        return "path string, seq string"
+    def fits(place: int) -> bool:
+        at = lambda k: lines[(k - place) % 4 :: 4]
+        after = [(lines[i], lines[i + 2]) for i in range((1 - place) % 4, len(lines) - 2, 4)]
+        return all(x.startswith("@") for x in at(0)) and all(x.startswith("+") for x in at(2)) and all(len(a) == len(b) for a, b in after)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _FastqReader(self.options["paths"].split("\n"))
+    found = [p for p in range(4) if fits(p)]
+    if not found:
+        raise ValueError("records of other than four lines in a file that is split; raise spark.sql.files.maxPartitionBytes beyond its size")
+    # A handful of lines at a file's end may fit twice; then whichever place makes the bases look like bases.
+    return min(found, key=lambda p: sum(not x.isalpha() for x in lines[(1 - p) % 4 :: 4]))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def split_reads(lines: Iterator[str], start: int) -> Iterator[str]:
+    """Sequences whose lines begin in a split of a FASTQ file that begins at byte `start`."""
+    if start == 0:
+        yield from fastq_reads(lines)
+        return
+    head = list(islice(lines, 256))
+    if head:
+        yield from islice(chain(head, lines), (1 - _place(head)) % 4, None, 4)
 
 
-class _FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = sorted(paths, key=lambda p: -os.path.getsize(p))
+def _read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    source = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "start", "value")), strict=True))
+        reads: Iterable = ((path, seq) for (path, start), own in groupby(rows, lambda r: r[:2]) for seq in split_reads((r[2].rstrip("\r") for r in own), start))
+        reads = iter(reads)
+        while some := list(islice(reads, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.string()) for i in (0, 1)], names=["path", "seq"])
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        kind = file_kind(partition.path)[1]
-        opened = {"gzip": gzip.open, "bzip2": bz2.open, "none": open}[kind]
-        with opened(partition.path, "rt", newline="\n") as f:
-            for seq in fastq_reads(f):
-                yield partition.path, seq
+    return spark.read.text(paths).select(*source, "value").mapInArrow(work, "path string, seq string")
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq): one row a read, headers and qualities dropped."""
-    paths = expand(path)
-    kind = file_kind(paths[0])[0]
+def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(path, seq): one row a read, headers and qualities dropped. kind (fasta, fastq, lines) overrides what names tell."""
+    paths = expand(spark, path, kind)
+    kind = kind or file_kind(paths[0])[0]
     if kind == "fastq":
-        spark.dataSource.register(FastqSource)
-        return spark.read.format("fastq").option("paths", "\n".join(paths)).load()
+        return _read_fastq(spark, paths)
     source = F.col("_metadata.file_path").alias("path")
     if kind == "lines":
         return spark.read.text(paths).select(source, F.rtrim(F.col("value"), F.lit("\r")).alias("seq"))
-    records = spark.read.option("lineSep", "\n>").text(paths).select(source, F.col("value"))
+    records = spark.read.option("lineSep", "\n>").text(paths).select(source, F.col("value"), F.instr("value", "\n").alias("cut"))
     # The rest of the record's first line is its header.
-    body = F.when(F.instr("value", "\n") > 0, F.regexp_replace("value", r"^[^\n]*\n", "")).otherwise("")
-    return records.where(F.length("value") > 0).select("path", F.regexp_replace(body, r"[\r\n]", "").alias("seq"))
+    body = F.when(F.col("cut") > 0, F.substr("value", F.col("cut") + 1)).otherwise("")
+    return records.where(F.length("value") > 0).select("path", F.translate(body, "\r\n", "").alias("seq"))

@@ -1,54 +1,119 @@
-"""Packed counts as files: the sink writes records of (count, k-mer), the source reads them back.
-
-Records have two widths, so a file is one task; files are one for each partition of the table written.
+"""Packed counts as binary files: records of a count (one byte below 255, else FF and 32 bits little-endian) and the
+packed k-mer, one after the other. One file for each partition written; a file read is one task, decoded in blocks.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from strandfold.functions import bases
 
+_QUADS = np.array([list((bases.BASES[b >> 6] + bases.BASES[b >> 4 & 3] + bases.BASES[b >> 2 & 3] + bases.BASES[b & 3]).encode()) for b in range(256)], np.uint8)
 
-def decode(content: bytes, k: int) -> list[tuple[str, int]]:
-    """(kmer, cnt) records of a packed file's bytes."""
-    width, at, out = -(-k // 4), 0, []
-    quads = [bases.BASES[b >> 6] + bases.BASES[b >> 4 & 3] + bases.BASES[b >> 2 & 3] + bases.BASES[b & 3] for b in range(256)]
-    while at < len(content):
-        count, at = content[at], at + 1
-        if count == 255:
-            count, at = int.from_bytes(content[at : at + 4], "little"), at + 4
-        out.append(("".join(quads[b] for b in content[at : at + width])[:k], count))
-        at += width
-    return out
 
+def decoded(content: bytes, k: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k-mers as rows of k letters, counts) of a packed file's bytes, at most `block` records at a time.
 
-def write_packed(counts: DataFrame, path: str, k: int) -> None:
-    """One file of lines of hex records would be text; packed files are written as a Parquet column of record bytes."""
-    counts.select(F.unhex(bases.record_hex(F.col("cnt"), F.col("kmer"), k)).alias("record")).write.parquet(path)
+    Stretches of short records are read as a matrix; a record with a long count ends a stretch.
+    """
+    data, width, at = np.frombuffer(content, np.uint8), -(-k // 4), 0
+    while at < len(data):
+        n = min(block, (len(data) - at) // (1 + width))
+        rows = data[at : at + n * (1 + width)].reshape(n, 1 + width)
+        long = np.flatnonzero(rows[:, 0] == 255)
+        n = int(long[0]) if len(long) else n
+        if n:
+            yield _QUADS[rows[:n, 1:]].reshape(n, -1)[:, :k], rows[:n, 0].astype(np.int64)
+            at += n * (1 + width)
+        elif at + 5 + width <= len(data) and data[at] == 255:
+            yield _QUADS[data[at + 5 : at + 5 + width]].reshape(1, -1)[:, :k], np.array([int.from_bytes(data[at + 1 : at + 5].tobytes(), "little")])
+            at += 5 + width
+        else:
+            raise ValueError(f"{len(data) - at} bytes at the end are no whole record for k={k}")
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, made: str, final: str) -> None:
+        self.made, self.final = made, final
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes a file of its own under _temporary; the driver moves those of tasks that succeeded."""
+
+    def __init__(self, uri: str) -> None:
+        self.uri, self.job = uri.rstrip("/"), uuid.uuid4().hex
+
+    def _at(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri) if "://" in self.uri or self.uri.startswith("file:") else (fs.LocalFileSystem(), self.uri)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
 
+        store, path = self._at()
+        part = TaskContext.get().partitionId()
+        store.create_dir(f"{path}/_temporary/{self.job}")
+        made = f"{path}/_temporary/{self.job}/{part}-{uuid.uuid4().hex}"
+        with store.open_output_stream(made) as out:
+            for batch in iterator:
+                col = batch.column(0).cast(pa.large_binary())
+                if len(col):
+                    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+                    out.write(memoryview(col.buffers()[2])[ends[0] : ends[-1]])
+        return _Written(made, f"{path}/part-{part:05d}.bin")
 
-def read_packed_table(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """(kmer, cnt) of write_packed()."""
-    h = F.hex("record")
-    short = F.substring(h, 1, 2) != "FF"
-    little = F.concat(*(F.substring(h, i, 2) for i in (9, 7, 5, 3)))
-    count = F.when(short, F.conv(F.substring(h, 1, 2), 16, 10)).otherwise(F.conv(little, 16, 10)).cast("bigint")
-    packed = F.when(short, F.substring(h, 3, 1 << 20)).otherwise(F.substring(h, 11, 1 << 20))
-    return spark.read.parquet(path).select(bases.from_packed_hex(packed, k).alias("kmer"), count.alias("cnt"))
+    def commit(self, messages: list) -> None:
+        store, path = self._at()
+        for m in messages:
+            if m is not None:
+                store.move(m.made, m.final)
+        store.delete_dir(f"{path}/_temporary")
 
+    def abort(self, messages: list) -> None:
+        store, path = self._at()
+        store.delete_dir(f"{path}/_temporary/{self.job}")
 
-def read_packed_files(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """(kmer, cnt) of raw packed files, one task a file."""
 
-    def work(batches):
-        import pyarrow as pa
+class PackedSink(DataSource):
+    """format("packed").save(folder) of one BINARY column: the records as they are, nothing between or after them."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "packed"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options["path"])
+
+
+def records(counts: DataFrame, k: int) -> DataFrame:
+    """(record BINARY) of (kmer, cnt)."""
+    return counts.select(F.unhex(bases.record_hex(F.col("cnt"), F.col("kmer"), k)).alias("record"))
+
+
+def write_packed(counts: DataFrame, path: str, k: int) -> None:
+    """Packed files in the folder `path`: any URI that pyarrow's file systems open, as tasks write it themselves."""
+    counts.sparkSession.dataSource.register(PackedSink)
+    records(counts, k).write.format("packed").mode("append").save(path)
+
+
+def read_packed(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(kmer, cnt) of packed files."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = decode(content.as_py(), k)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["kmer", "cnt"])
+                for letters, counts in decoded(content.as_py(), k):
+                    ends = np.arange(0, letters.size + 1, k, dtype=np.int32)
+                    made = pa.StringArray.from_buffers(len(counts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters)))
+                    yield pa.RecordBatch.from_arrays([made, pa.array(counts)], names=["kmer", "cnt"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "kmer string, cnt bigint")
 
@@ -60,3 +125,8 @@ def fasta_lines(counts: DataFrame) -> DataFrame:
 
 def write_fasta(counts: DataFrame, path: str) -> None:
     fasta_lines(counts).write.text(path)
+
+
+def packed_to_fasta(spark: SparkSession, packed: str, k: int, out: str) -> None:
+    """Packed files as FASTA text."""
+    write_fasta(read_packed(spark, packed, k), out)

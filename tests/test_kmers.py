@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandfold.functions import bases
 from strandfold.operators import kmers, minimizers
 from strandfold.operators.kmers import KmerConfig
-from strandfold.plans import staged
+from strandfold.plans import job, staged
 from strandfold.sources import fastx, packed
+from strandfold.streaming import counts as counts_stream
 
 
 def brute(reads, k, canonical=True):
@@ -75,15 +76,83 @@ def test_histogram_and_summary(spark):
 def test_codec(spark, count, kmer, want):
     df = spark.createDataFrame([(kmer, count)], "kmer string, cnt bigint")
     assert df.select(bases.record_hex(F.col("cnt"), F.col("kmer"), len(kmer))).first()[0] == want
-    assert packed.decode(bytes.fromhex(want), len(kmer)) == [(kmer, count)]
+    assert [(x.tobytes().decode(), int(n)) for letters, counts in packed.decoded(bytes.fromhex(want), len(kmer)) for x, n in zip(letters, counts, strict=True)] == [(kmer, count)]
 
 
 def test_packed_round_trip(spark, reads, tmp_path):
     counts = kmers.count(frame(spark, reads), KmerConfig(33, 1))
     packed.write_packed(counts, f"{tmp_path}/p", 33)
-    assert rows(packed.read_packed_table(spark, f"{tmp_path}/p", 33)) == brute(reads, 33)
-    (tmp_path / "raw").write_bytes(b"".join(bytes(r[0]) for r in spark.read.parquet(f"{tmp_path}/p").collect()))
-    assert rows(packed.read_packed_files(spark, f"{tmp_path}/raw", 33)) == brute(reads, 33)
+    assert rows(packed.read_packed(spark, f"{tmp_path}/p/*.bin", 33)) == brute(reads, 33)
+    packed.packed_to_fasta(spark, f"{tmp_path}/p/*.bin", 33, f"{tmp_path}/f")
+    text = "".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/f").collect())
+    assert dict(reversed(x.split("\n")) for x in text.strip(">\n").split("\n>")) == {x: str(n) for x, n in brute(reads, 33).items()}
+    with pytest.raises(ValueError):
+        list(packed.decoded(bytes.fromhex("4306E0FF01"), 6))
+
+
+def test_long_counts(spark, tmp_path):
+    counts = [("ACGTACGTA", n) for n in (1, 254, 255, 256, 70000, 2)] + [("TTTTTTTTT", 255), ("CCCCCCCCC", 7)]
+    packed.write_packed(spark.createDataFrame(counts, "kmer string, cnt bigint").coalesce(1), f"{tmp_path}/p", 9)
+    assert [tuple(r) for r in packed.read_packed(spark, f"{tmp_path}/p", 9).collect()] == counts
+
+
+@pytest.mark.parametrize("k", [28, 64])
+def test_long_read(spark, k):
+    rng = random.Random(9)
+    long = "".join(rng.choices("ACGTN", [30] * 4 + [1], k=300_000))
+    df = frame(spark, [long])
+    assert rows(kmers.at_least(kmers.count_packed(df, k, most=7000), 1).select(kmers.spelled(k).alias("kmer"), "cnt")) == brute([long], k)
+    cut = kmers.cut_reads(df, k, 5000)
+    assert cut.count() > 50 and rows(kmers.count(cut, KmerConfig(k, 1))) == brute([long], k)
+    assert rows(kmers.count_kmers(frame(spark, [long[:9000]]), k)) == brute([long[:9000]], k)
+
+
+def test_whole_job(spark, tmp_path, reads):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ml").write_text("\n".join(r or "" for r in reads))
+    config = KmerConfig(12, 2, bins=16, m=5)
+    want = {x: n for x, n in brute(reads, 12).items() if n >= 2}
+    for form in job.FORMATS:
+        got = job.run(spark, f"{tmp_path}/in", f"{tmp_path}/{form}", config, form, f"{tmp_path}/{form}-staged", f"{tmp_path}/{form}-hist", f"{tmp_path}/{form}-bins")
+        assert rows(got) == want
+        assert len(spark.read.text(f"{tmp_path}/{form}-hist").collect()) == 513
+        lines = [list(map(int, r[0].split("\t"))) for r in spark.read.text(f"{tmp_path}/{form}-bins").collect()]
+        assert [x[0] for x in lines] == list(range(16)) and sum(x[2] for x in lines) == sum(brute(reads, 12).values()) and sum(x[3] for x in lines) == len(brute(reads, 12))
+    assert rows(packed.read_packed(spark, f"{tmp_path}/packed", 12)) == want
+    with pytest.raises(ValueError):
+        job.run(spark, f"{tmp_path}/in", None, config, "other")
+
+
+def test_split_fastq(spark, tmp_path):
+    rng = random.Random(4)
+    made = ["".join(rng.choices("ACGTN", k=rng.randint(1, 90))) for _ in range(4000)]
+    quality = lambda s: "".join(rng.choices("@+IACGT", k=len(s)))
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\n{s}\n+\n{quality(s)}\n" for i, s in enumerate(made)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = fastx.read_sequences(spark, f"{tmp_path}/a.fq")
+        assert sorted(r["seq"] for r in got.collect()) == sorted(made)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_bins_of_few_reads(spark):
+    stats = minimizers.bin_stats(minimizers.supermers(frame(spark, ["ACGTACGTAC"]), 8, 5, 64), 64)
+    order = {r["ord"]: r["kmers"] for r in minimizers.bin_order(stats, 64).collect()}
+    assert len(order) == 64 and sum(order.values()) == 3 and order[64] > 0 and order[1] == 0
+    assert minimizers.bin_size_stats(stats).first()["n_bins"] == 64
+
+
+def test_streaming(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ml").write_text("ACGTACGTAC\nTTTTTTTTT\n")
+    query = counts_stream.stream_counts(spark, f"{tmp_path}/in", 8).writeStream.format("memory").queryName("kmers").outputMode("complete").start()
+    try:
+        query.processAllAvailable()
+        assert rows(spark.table("kmers")) == brute(["ACGTACGTAC", "TTTTTTTTT"], 8)
+    finally:
+        query.stop()
 
 
 def test_supermers_and_staging(spark, reads, tmp_path):
@@ -114,6 +183,7 @@ def test_sources(spark, tmp_path, codec):
         "a.fa": (">a x>y\nACGTNAC\nGT\n\n>b\nTTTT\nGG", ["ACGTNACGT", "TTTTGG"]),
         "b.fq": ("@r1\nACGT\nAC\n+\n+@II\nII\n@r2\nTTT\n+r2\n@II\n", ["ACGTAC", "TTT"]),
         "c.ml": ("ACGT\n\nTT\r\n", ["ACGT", "", "TT"]),
+        "d.fa": (">a x>y\r\nACGTNAC\r\nGT\r\n\r\n>b\r\nTTTT\r\nGG", ["ACGTNACGT", "TTTTGG"]),
     }
     for name, (text, want) in texts.items():
         with opened(tmp_path / (name + codec), "wb") as f:
@@ -122,17 +192,17 @@ def test_sources(spark, tmp_path, codec):
         assert sorted(got) == sorted(want)
 
 
-def test_paths(tmp_path):
+def test_paths(spark, tmp_path):
     for name in ("x.fa", "y.fa"):
         (tmp_path / name).write_text(">a\nACGT\n")
     (tmp_path / "sub").mkdir()
-    assert len(fastx.expand(str(tmp_path))) == 2
+    assert len(fastx.expand(spark, str(tmp_path))) == 2
     (tmp_path / "sub" / "list.txt").write_text(f"{tmp_path}/x.fa\n{tmp_path}/y.fa\n")
-    assert len(fastx.expand(str(tmp_path / "sub" / "list.txt"))) == 2
+    assert len(fastx.expand(spark, str(tmp_path / "sub" / "list.txt"))) == 2
     (tmp_path / "z.fq").write_text("@a\nA\n+\nI\n")
     for bad in (tmp_path, tmp_path / "none.fa", tmp_path / "sub"):
         with pytest.raises(ValueError):
-            fastx.expand(str(bad))
+            fastx.expand(spark, str(bad))
 
 
 def test_config():
