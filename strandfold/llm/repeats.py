@@ -1,15 +1,19 @@
 """Exact removal of repeated byte strings: every byte covered by a `size`-byte string that also starts anywhere else.
 
-A window of `size` bytes is filed under its minimizer, the gram of GRAM bytes with the smallest hash in it, so equal
-windows share it; consecutive windows with one minimizer form a run of at most size - GRAM + 1 windows. Runs whose gram
-stands nowhere else are done. Runs that are equal as a whole to another are repeated as a whole, and need no bytes to be
-compared. Of the others, the bytes of one run of each content go to their gram's partition, where the hashes of all
-windows are compared. What moves between tasks is thus three hashes a run, about size / 3 bytes apart, and the bytes of
-partly repeated runs only.
+Equal windows must meet in one shard, and no shard may see the whole corpus. A window of `size` bytes is filed under its
+minimizer, the gram of GRAM bytes with the smallest hash in it; consecutive windows with one minimizer form a run of at
+most size - GRAM + 1 windows. Runs whose gram stands nowhere else are done. Equal runs are repeated as a whole and enter
+the sort once. The bytes of one run of each content go to their gram's shard, where external induced sorting of all
+suffixes, with the prefixes that neighbours share, finds the repeated windows (induced.py).
+
+What moves between tasks is three hashes a run, about size / 3 bytes apart, and the bytes of runs whose gram has several
+contents. Runs that repeat within a task are settled there and go on once. A gram with many contents is split further, by
+classes of `step` neighbouring window places and the bytes that all windows of a class share.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandfold.llm import induced
 from strandfold.llm.common import fresh, spread, text_slices, written
 from strandfold.llm.decontaminate import _mixed, _powers
 
@@ -32,12 +37,12 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, gram hash, content hash) of the runs of windows with one minimizer."""
+    """(text, first window, last window, gram's place, gram hash, content hash) of the runs of windows with one minimizer."""
     n, w = len(data), size - GRAM + 1
     ends = np.repeat(offsets[1:], np.diff(offsets))
     valid = ends - np.arange(n) >= size
     if n < size or not valid.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     sums, back = _sums(data)
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
     # Order by the hash's upper bits, then by place: the leftmost smallest gram of each window in one number.
@@ -56,85 +61,154 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     first = p[new]
     last = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
     content = _mixed((sums[last + size] - sums[first]) * back[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, grams[at[first]], content
+    return np.searchsorted(offsets, first, "right") - 1, first, last, at[first], grams[at[first]], content
+
+
+class _Seen:
+    """Contents that a task has met more than once; bounded, for it only saves work."""
+
+    def __init__(self, most: int = 1 << 18) -> None:
+        self.known, self.most = np.zeros(0, np.uint64), most
+
+    def settled(self, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(goes on, repeated here) of each content: the first of its kind goes on, unless one went on before."""
+        kinds, first, which, n = np.unique(contents, return_index=True, return_inverse=True, return_counts=True)
+        old = np.isin(kinds, self.known, assume_unique=True)
+        on = np.zeros(len(contents), bool)
+        on[first[~old]] = True
+        again = (n > 1) | old
+        fresh_ones = kinds[again & ~old]
+        self.known = np.concatenate([self.known, fresh_ones])[-self.most :]
+        return on, again[which]
+
+
+_RUN = "h bigint, h2 int, first int, last int, at int, gram bigint, content bigint, sent boolean, repeated boolean"
 
 
 def _find_runs(texts: DataFrame, size: int) -> DataFrame:
-    """(h, h2, first, last, gram, content) of all runs of the texts (h, h2, text)."""
+    """All runs of the texts (h, h2, text): windows first to last, the gram's place, hashes; whether the run is sent on,
+    and whether it is known to be repeated."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             h, h2 = batch.column("h").to_numpy(), batch.column("h2").to_numpy()
             for i, _, data, offsets in text_slices(batch, "text", 1 << 20):
-                text, first, last, gram, content = runs_of(data, offsets, size)
+                text, first, last, at, gram, content = runs_of(data, offsets, size)
                 start = offsets[text]
+                places = [pa.array((x - start).astype(np.int32)) for x in (first, last, at)]
+                sent, repeated = seen.settled(content ^ _mixed(gram))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[i + text]), pa.array(h2[i + text]), pa.array((first - start).astype(np.int64)), pa.array((last - start).astype(np.int64)), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))],
-                    names=["h", "h2", "first", "last", "gram", "content"],
+                    [pa.array(h[i + text]), pa.array(h2[i + text]), *places, pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(sent), pa.array(repeated)],
+                    names=["h", "h2", "first", "last", "at", "gram", "content", "sent", "repeated"],
                 )
 
-    return texts.mapInArrow(work, "h bigint, h2 int, first bigint, last bigint, gram bigint, content bigint")
-
-
-def _compare(pieces: DataFrame, size: int, chunk: int = 4 << 20) -> DataFrame:
-    """(h, h2, start, end): repeated stretches among the pieces (gram, h, h2, first, bytes) that share a gram."""
+    return texts.mapInArrow(work, _RUN)
+
+
+class _Shard:
+    """Pieces as one text of symbols, in a file beyond induced.IN_MEMORY, and what tells where each came from."""
+
+    def __init__(self) -> None:
+        self.file, self.size = tempfile.SpooledTemporaryFile(induced.IN_MEMORY), 0
+        self.own: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        col = rows.column("bytes").cast(pa.large_binary())
+        ends = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1 + col.offset)[col.offset :]
+        sizes = np.diff(ends)
+        symbols = np.full(int(sizes.sum()) + len(col), induced.SEPARATOR, np.uint8)
+        places = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(col)), sizes)
+        # UTF-8 has no bytes beyond F4, so two more symbols fit.
+        symbols[places] = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]] + induced.FIRST_BYTE
+        self.file.write(symbols.tobytes())
+        self.size += len(symbols)
+        self.own.append((rows.column("h").to_numpy(), rows.column("h2").to_numpy(), rows.column("first").to_numpy(), sizes))
+
+    def repeated(self, size: int) -> pa.RecordBatch:
+        """(h, h2, start, end) of the stretches whose every window also starts elsewhere in the shard."""
+        self.file.write(bytes([induced.END]))
+        self.file.flush()
+        if self.size + 1 > induced.IN_MEMORY:
+            data = np.memmap(self.file, np.uint8, "r", shape=(self.size + 1,))
+        else:
+            self.file.seek(0)
+            data = np.frombuffer(self.file.read(), np.uint8)
+        h, h2, first, sizes = (np.concatenate(c) for c in zip(*self.own, strict=True))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        p = np.flatnonzero(induced.repeated_windows(data, size))
+        own = np.searchsorted(begin, p, "right") - 1
+        inside = p - begin[own] <= sizes[own] - size
+        p, own = p[inside], own[inside]
+        new = np.flatnonzero((np.diff(p, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
+        last = np.append(new[1:], len(p)) - 1
+        own = own[new]
+        start = first[own] + p[new] - begin[own]
+        return pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(h2[own]), pa.array(start), pa.array(start + p[last] - p[new] + size)], names=["h", "h2", "start", "end"])
+
+
+def _compare(pieces: DataFrame, size: int, shard_bytes: int = 4 << 20) -> DataFrame:
+    """(h, h2, start, end): repeated stretches among the pieces (gram, h, h2, first, bytes) that share a gram.
+
+    A task's pieces come in order of their grams; whole grams make shards of about `shard_bytes`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        weight = 0
+        shard, gram = _Shard(), None
         for batch in batches:
-            held.append(batch)
-            weight += batch.nbytes
-            if weight >= chunk:
-                table = pa.Table.from_batches(held).combine_chunks()
-                grams = table.column("gram").to_numpy()
-                cut = int(np.searchsorted(grams, grams[-1]))  # the last gram may go on
-                if cut:
-                    yield from compare(table.slice(0, cut))
-                held, weight = table.slice(cut).to_batches(), 0
-        if held:
-            yield from compare(pa.Table.from_batches(held))
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        texts = table.column("bytes").to_pylist()
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        p = np.flatnonzero(offsets[1:][owner] - np.arange(len(data)) >= size)
-        if not len(p):
-            return
-        sums, back = _sums(data)
-        hashes = _mixed((sums[p + size] - sums[p]) * back[p])
-        _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        p = p[counts[which] > 1]
-        if not len(p):
-            return
-        own = owner[p]
-        new = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(own) != 0)))
-        last = np.append(new[1:] - 1, len(p) - 1)
-        own, first = own[new], table.column("first").to_numpy()
-        start = first[own] + p[new] - offsets[own]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(table.column("h").to_numpy()[own]), pa.array(table.column("h2").to_numpy()[own]), pa.array(start), pa.array(start + p[last] - p[new] + size)], names=["h", "h2", "start", "end"]
-        )
+            grams = batch.column("gram").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(grams)) + 1).tolist(), len(grams)] if len(grams) else []
+            # Cut only where a gram ends and the shard is full.
+            weights = np.diff(np.frombuffer(batch.column("bytes").cast(pa.large_binary()).buffers()[1], np.int64)).cumsum() if len(grams) else []
+            at = 0
+            for i, cut in enumerate(cuts[:-1]):
+                full = shard.size + (int(weights[cut - 1]) - (int(weights[at - 1]) if at else 0) if cut > at else 0) >= shard_bytes
+                if full and (i or gram != grams[0]):
+                    if cut > at:
+                        shard.add(batch.slice(at, cut - at))
+                    yield shard.repeated(size)
+                    shard, at = _Shard(), cut
+            if len(grams):
+                shard.add(batch.slice(at))
+                gram = grams[-1]
+        if shard.size:
+            yield shard.repeated(size)
 
     return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, "h bigint, h2 int, start bigint, end bigint")
 
 
-def find_repeats(texts: DataFrame, size: int = 200) -> DataFrame:
+def _pieces(texts: DataFrame, runs: DataFrame, size: int, hot: int, step: int = 17) -> DataFrame:
+    """(gram, h, h2, first, bytes) of the runs (h, h2, runs array<struct<gram,at,first,last,kinds>>)."""
+
+    def parts(r):
+        whole = F.array(F.struct(r["gram"].alias("gram"), r["first"].alias("first"), r["last"].alias("last")))
+
+        def of_class(a):
+            shared = F.substring("bytes", r["at"] - a + 1, F.lit(size - step + 1))
+            return F.struct(F.xxhash64(r["gram"], a, shared).alias("gram"), F.greatest(r["first"], r["at"] - a - (step - 1)).alias("first"), F.least(r["last"], r["at"] - a).alias("last"))
+
+        classes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - GRAM), F.lit(step)), of_class), lambda x: x["first"] <= x["last"])
+        return F.when(r["kinds"] <= hot, whole).otherwise(classes)
+
+    # Copies of a text are one text here.
+    joined = texts.dropDuplicates(["h", "h2"]).join(runs, ["h", "h2"]).select("h", "h2", "runs", F.encode("text", "UTF-8").alias("bytes"))
+    cut = joined.select("h", "h2", "bytes", F.explode(F.flatten(F.transform("runs", parts))).alias("p"))
+    return cut.select("p.gram", "h", "h2", F.col("p.first").cast("bigint").alias("first"), F.substring("bytes", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + size).alias("bytes"))
+
+
+def find_repeats(texts: DataFrame, size: int = 200, hot: int = 5000) -> DataFrame:
     """(h, h2, start, end) of texts (h, h2, text), bytes, end exclusive: stretches whose every `size`-byte window also
-    starts elsewhere. Stretches of a text may touch or overlap; equal texts share (h, h2) and their stretches."""
+    starts elsewhere. Stretches of a text may touch or overlap; equal texts share (h, h2) and their stretches. Grams of
+    more than `hot` contents are split."""
     by_gram, by_content = Window.partitionBy("gram"), Window.partitionBy("gram", "content")
-    runs = _find_runs(texts, size).withColumn("n_gram", F.count("*").over(by_gram)).where("n_gram > 1")
-    runs = runs.withColumn("n_content", F.count("*").over(by_content)).withColumn("nth", F.row_number().over(by_content.orderBy("h", "h2", "first")))
-    runs = written(runs, "runs")
-    whole = runs.where("n_content > 1").select("h", "h2", F.col("first").alias("start"), (F.col("last") + size).alias("end")).distinct()
-    # Runs that share their gram with another content: one of each content is compared byte by byte.
-    open_runs = runs.where("n_gram > n_content and nth = 1").groupBy("h", "h2").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
-    joined = texts.join(open_runs, ["h", "h2"])
-    piece = F.transform("runs", lambda r: F.struct(r["gram"].alias("gram"), r["first"].alias("first"), F.substring(F.encode("text", "UTF-8"), (r["first"] + 1).cast("int"), (r["last"] - r["first"] + size).cast("int")).alias("bytes")))
-    pieces = joined.select("h", "h2", F.explode(piece).alias("p")).select("h", "h2", "p.*")
-    return whole.union(written(_compare(pieces, size), "partly"))
+    every = written(_find_runs(texts, size), "runs")
+    runs = every.where("sent").withColumn("n", F.count("*").over(by_content)).withColumn("nth", F.row_number().over(by_content.orderBy("h", "h2", "first")))
+    runs = runs.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_gram))
+    runs = written(runs.where("kinds > 1 or n > 1 or repeated").drop("content", "sent"), "runs")
+    span = ["h", "h2", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("end")]
+    whole = every.where("not sent").select(*span).union(runs.where("n > 1 or repeated").select(*span)).distinct()
+    # Runs that share their gram with another content: one of each content is sorted.
+    open_runs = runs.where("kinds > 1 and nth = 1").groupBy("h", "h2").agg(F.collect_list(F.struct("gram", "at", "first", "last", "kinds")).alias("runs"))
+    return whole.union(written(_compare(_pieces(texts, open_runs, size, hot), size), "partly"))
 
 
 def remove_repeats(df: DataFrame, text: str = "text", size: int = 200, removed: str = "removed", kept: str = "kept") -> DataFrame:
