@@ -1,18 +1,20 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Word shingles of a whole document are hashed at once over the Arrow buffer. A window can reach the similarity only if
-enough of its shingles stand in the benchmark, so only such item-sized windows get a SimHash. Items of the same size are
+Word shingles of a whole document are hashed at once over the Arrow buffer. For every size that a benchmark item has, the
+document's windows of that size get a SimHash, and the items of that size whose fingerprints are within the radius are
 found by multi-index Hamming blocks: 64 bits in 8 blocks, each probed with every value within radius // 8 bits, which by
 the pigeonhole principle misses no fingerprint within the radius. The exact weighted similarity of shingle multisets
-(sum of smaller over sum of larger counts) then decides. The radius is 4.5 standard deviations above the distance that
-two windows of the least similarity are expected to have.
+(sum of smaller over sum of larger counts) then decides about each candidate. The radius is 4.5 standard deviations above
+the distance that two windows of the least similarity are expected to have.
 
+Windows with fewer shingles of the benchmark as a whole than the similarity needs, whichever item they were compared with,
+are left out before: that is an exact bound and finds no items.
 The benchmark's shingles are broadcast in blocks of at most `block_shingles`; a larger benchmark makes more passes.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -100,38 +102,48 @@ def simhash_windows(hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray
 class Items:
     """A block of benchmark items: shingle multisets, and for each size the multi-index of their SimHashes."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, radius: int, blocks: int = 8) -> None:
+    def __init__(self, rows: list[tuple[int, str]], size: int, radius: int, least: float, blocks: int = 8) -> None:
         texts = [t.encode() for _, t in rows]
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         hashes, _, _, first = shingle_hashes(data, offsets, size)
-        self.radius, self.width = radius, 64 // blocks
+        self.radius, self.width, self.least = radius, 64 // blocks, least
         self.ids = [r[0] for r in rows]
-        self.counts = np.diff(first)
+        counts = np.diff(first)
         self.bags = [Counter(hashes[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
-        owner = np.repeat(np.arange(len(rows)), self.counts)
-        pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)], axis=1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-        self.known, self.first = np.unique(pairs[:, 0], return_index=True)
-        self.first = np.append(self.first, len(pairs))
-        self.owner = pairs[:, 1].astype(np.int64)
+        self.keys = [np.array(sorted(bag), np.uint64) for bag in self.bags]
+        self.known = np.unique(hashes)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        near = [sum(1 << b for b in c) for k in range(radius // blocks + 1) for c in combinations(range(self.width), k)]
-        self.prints, self.index = np.zeros(len(rows), np.uint64), defaultdict(list)
-        for i, (a, m) in enumerate(zip(first[:-1], self.counts, strict=True)):
-            if m:
-                f = int(simhash_windows(hashes[a : a + m], int(m), np.zeros(1, np.int64))[0])
-                self.prints[i] = f
-                for b in range(blocks):
-                    value = f >> b * self.width & (1 << self.width) - 1
-                    for x in near:
-                        self.index[int(m), b, value ^ x].append(i)
-        self.blocks = blocks
-
-    def near(self, m: int, f: int) -> set[int]:
-        """Items of m shingles within the radius of fingerprint f."""
-        found = {i for b in range(self.blocks) for i in self.index.get((m, b, f >> b * self.width & (1 << self.width) - 1), ())}
-        return {i for i in found if (int(self.prints[i]) ^ f).bit_count() <= self.radius}
+        near = np.array([sum(1 << b for b in c) for k in range(radius // blocks + 1) for c in combinations(range(self.width), k)])
+        #: For each size: its items, their fingerprints, and for each block and value the bitmap of items to look at.
+        self.of_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m in sorted(set(counts.tolist()) - {0}):
+            own = np.flatnonzero(counts == m)
+            prints = np.array([simhash_windows(hashes[first[i] : first[i] + m], m, np.zeros(1, np.int64))[0] for i in own], np.uint64)
+            index = np.zeros((blocks, 1 << self.width, -(-len(own) // 64)), np.uint64)
+            for b in range(blocks):
+                values = (prints >> np.uint64(b * self.width)).astype(np.int64) & (1 << self.width) - 1
+                for j, value in enumerate(values.tolist()):
+                    index[b, value ^ near, j // 64] |= np.uint64(1 << j % 64)
+            self.of_size[m] = own, prints, index
+
+    def need(self, window: int, m: int) -> int:
+        """Shingles that a window and an item of m must have in common at least: similarity s of multisets of a and b
+        needs s / (1 + s) * (a + b)."""
+        return int(np.ceil(self.least / (1 + self.least) * (window + m) - 1e-9))
+
+    def near(self, m: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in prints, item) of all items of m shingles within the radius of a fingerprint."""
+        own, theirs, index = self.of_size[m]
+        for at in range(0, len(prints), 4096):
+            part = prints[at : at + 4096]
+            look = np.zeros((len(part), index.shape[2]), np.uint64)
+            for b in range(len(index)):
+                look |= index[b, (part >> np.uint64(b * self.width)).astype(np.int64) & (1 << self.width) - 1]
+            i, j = np.nonzero(np.unpackbits(look.view(np.uint8), axis=1, bitorder="little"))
+            within = np.bitwise_count(part[i] ^ theirs[j]) <= self.radius
+            yield at + i[within], own[j[within]]
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -139,49 +151,50 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return smaller / (sum(a.values()) + sum(b.values()) - smaller)
 
 
-def _search(items: Items, data: np.ndarray, offsets: np.ndarray, size: int, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+def _candidates(items: Items, hashes: np.ndarray, known: np.ndarray, reach: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(item, window size, window starts) of one text for every item that the blocks find near its windows."""
+    n, sums = len(hashes), np.concatenate([[0], np.cumsum(known)])
+    for m in items.of_size:
+        w = min(n, m)
+        at = np.flatnonzero(sums[w:] - sums[:-w] >= items.need(w, m))
+        found_at, found_item = [], []
+        while len(at):
+            some = at[: np.searchsorted(at, at[0] + reach)]
+            at = at[len(some) :]
+            prints = simhash_windows(hashes[some[0] : some[-1] + w], w, some - some[0])
+            for place, item in items.near(m, prints):
+                found_at.append(some[place])
+                found_item.append(item)
+        if found_at:
+            place, item = np.concatenate(found_at), np.concatenate(found_item)
+            for i in np.unique(item).tolist():
+                yield i, w, place[item == i]
+
+
+def _search(items: Items, data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, similarity, start byte, end byte) of the best window of each text for each item."""
     hashes, starts, ends, first = shingle_hashes(data, offsets, size)
-    maybe = np.flatnonzero(items.filter[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
+    known = items.filter[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)]
+    maybe = np.flatnonzero(known)
     if not len(maybe) or not len(items.known):
         return
-    place = np.minimum(np.searchsorted(items.known, hashes[maybe]), len(items.known) - 1)
-    true = items.known[place] == hashes[maybe]
-    maybe, place = maybe[true], place[true]
-    # One row for each hit and item that holds the shingle.
-    n = items.first[place + 1] - items.first[place]
-    hit = np.repeat(maybe, n)
-    item = items.owner[np.repeat(items.first[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    text = np.searchsorted(first, hit, "right") - 1
-    order = np.lexsort((hit, item, text))
-    hit, item, text = hit[order], item[order], text[order]
-    new = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0))) if len(hit) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(new, len(hit)))
-    own = first[text[new] + 1] - first[text[new]]
-    m_item = items.counts[item[new]]
-    window = np.minimum(own, m_item)
-    # Similarity s of multisets of a and b shingles needs at least s / (1 + s) * (a + b) in common.
-    need = np.ceil(least / (1 + least) * (window + m_item) - 1e-9)
-    for k in np.flatnonzero(sizes >= need):
-        h, i, t = hit[new[k] : new[k] + sizes[k]], int(item[new[k]]), int(text[new[k]])
-        m, w = int(m_item[k]), int(window[k])
-        low = max(int(first[t]), int(h[0]) - w + 1)
-        high = min(int(first[t + 1]), int(h[-1]) + w)
-        marks = np.zeros(high - low + 1, np.int64)
-        np.add.at(marks, h - low + 1, 1)
-        marks = np.cumsum(marks)
-        at = np.flatnonzero(marks[w:] - marks[:-w] >= need[k])
-        if not len(at):
-            continue
-        prints = simhash_windows(hashes[low:high], w, at)
-        best = None
-        for a, f in zip(at.tolist(), prints.tolist(), strict=True):
-            if i in items.near(m, f):
-                s = weighted_similarity(Counter(hashes[low + a : low + a + w].tolist()), items.bags[i])
-                if s >= least and (best is None or s > best[0]):
-                    best = (s, int(starts[low + a] - offsets[t]), int(ends[low + a + w - 1] - offsets[t]))
-        if best:
-            yield t, i, *best
+    known[maybe] = items.known[np.minimum(np.searchsorted(items.known, hashes[maybe]), len(items.known) - 1)] == hashes[maybe]
+    for t in np.unique(np.searchsorted(first, np.flatnonzero(known), "right") - 1).tolist():
+        a, b = int(first[t]), int(first[t + 1])
+        own = hashes[a:b]
+        for i, w, at in _candidates(items, own, known[a:b]):
+            # The exact similarity; only windows that share enough shingles with this item are counted out.
+            low, high = int(at[0]), int(at[-1]) + w
+            shared = np.concatenate([[0], np.cumsum(np.isin(own[low:high], items.keys[i]))])
+            m = sum(items.bags[i].values())
+            at = at[shared[at + w - low] - shared[at - low] >= items.need(w, m)]
+            best = None
+            for x in at.tolist():
+                s = weighted_similarity(Counter(own[x : x + w].tolist()), items.bags[i])
+                if s >= items.least and (best is None or s > best[0]):
+                    best = (s, int(starts[a + x] - offsets[t]), int(ends[a + x + w - 1] - offsets[t]))
+            if best:
+                yield t, i, *best
 
 
 def _item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -220,12 +233,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, size, radius)
+            items = Items(shared.value, size, radius, least)
             for batch in batches:
                 keys = batch.column("key")
                 found = []
                 for i, _, data, offsets in text_slices(batch, "text"):
-                    found += [(keys[i + t].as_py(), items.ids[n], *rest) for t, n, *rest in _search(items, data, offsets, size, least)]
+                    found += [(keys[i + t].as_py(), items.ids[n], *rest) for t, n, *rest in _search(items, data, offsets, size)]
                 columns = zip(*found, strict=True) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 

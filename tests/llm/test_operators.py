@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -117,6 +119,43 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()) == [2, 5]
 
 
+def _leaks_by_brute_force(docs, items, least=0.8):
+    """{(doc, item): similarity of the best window}: all windows of all texts against all items."""
+
+    def bag_list(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+    out = {}
+    for d, text in docs:
+        own = bag_list(text)
+        for i, item in items:
+            theirs = Counter(bag_list(item))
+            m = sum(theirs.values())
+            w = min(len(own), m)
+            best = max((decontaminate.weighted_similarity(Counter(own[x : x + w]), theirs) for x in range(len(own) - w + 1)), default=0) if w else 0
+            if best >= least:
+                out[d, i] = best
+    return out
+
+
+def test_decontamination_brute_force(spark):
+    """Passages changed, cut and lengthened around the least similarity; repeated words; every window of every text."""
+    rng = random.Random(17)
+    items = [(i, prose(rng.randint(3, 70))) for i in range(25)] + [(30, "la " * 40), (31, f"{prose(12)} " * 3)]
+    docs = []
+    for d in range(160):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = "other"
+        words = words[rng.choice([0, 0, 1, 3]) :]
+        docs.append((d, f"{prose(rng.randint(0, 60))} {' '.join(words)} {prose(rng.randint(0, 60))}" if d % 4 else " ".join(words)))
+    want = _leaks_by_brute_force(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(*frames).collect()}
+    assert len(want) > 50 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_language(spark):
     made = {"aa": "kalo mira tose velu", "bb": "schtr grmpf zwrk pfnt"}
     rows = [(" ".join(RNG.choices(s.split(), k=RNG.randint(3, 30))), lang) for lang, s in made.items() for _ in range(60)]
@@ -189,7 +228,8 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(entries.tokenizer_path())
-    t.encode_special_tokens = True
+    texts = [*texts, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y z <|endoftext"]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(texts)][-3:], "doc_id bigint, text string"))
     pieces = packing.pack(docs, entries.tokenizer_path(), capacity=128, group_docs=20).collect()
     by, seqs = {}, {}
     for p in pieces:
