@@ -64,9 +64,13 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], in
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _special(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes out of a text before anything else."""
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 #: Ids of words seen, each as it is after a space. Bounded: emptied when full, and long words are not kept.
@@ -114,6 +118,7 @@ def _learn(words: list[str], path: str) -> None:
 def _release() -> None:
     _WORDS.clear()
     _tokenizer.cache_clear()
+    _special.cache_clear()
     _ranked.cache_clear()
 
 
@@ -137,7 +142,8 @@ def encode(texts: list[str], path: str, last: int) -> list[bytes]:
     alone = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
     if len(_WORDS) > _MOST_WORDS:
         _WORDS.clear()
-    cuts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
+    # A text that holds one of the tokenizer's own special strings is not cut: such strings may reach over spaces.
+    cuts = [[t] if any(x in t for x in _special(path)) else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
     new: set[str] = set()
     for c in cuts:
         new.update(c[1:])
@@ -156,14 +162,16 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
 
     A document is its token ids and then `last`; a null or empty text is `last` alone. Every id lies in exactly one piece.
     sequence_id is the partition and the number of the sequence in it; offsets are gapless from 0. A group ends at
-    `group_docs` documents or `group_chars` characters. Repeated rows and null keys are documents like any other; other
+    `group_docs` documents or `group_chars` characters. Special strings of the tokenizer (such as its end-of-text mark) give
+    their own ids where they stand in a text, as the tokenizer itself does without add_special_tokens. Repeated rows and null keys are documents like any other; other
     columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # Dealt by row, not by key: equal rows and null keys spread as well, and a retried task gets the same rows.
+    # Dealt by row, not by key: equal rows and null keys spread as well. Sorted by what deals them, so that a task that is
+    # run again after its input was fetched in another order makes the same groups and sequences.
     dealt = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
-    dealt = dealt.repartition(n, "deal").select("key", "text")
+    dealt = dealt.repartition(n, "deal").sortWithinPartitions("deal").select("key", "text")
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
