@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a white-space token's bytes (in segments of at most 32) in both directions and labels every position
-with a probability for each language; a document's probabilities are the mean over all its positions in tokens that hold
-a letter. Equal segments give equal labels, so each distinct one is evaluated once per process while a bounded table
-lasts. Training is backpropagation through time with Adam on a bounded, documented sample of labelled rows.
+The network reads a whole text's bytes in both directions and labels every position with a probability for each language; a
+document's probabilities are the mean over all its positions that hold a letter. So that a text of any length is read
+in parallel, it is read in chunks: the state that enters a chunk comes from the CONTEXT bytes beside it, so each
+label rests on at least that many bytes on either side, across words and chunks. Training is backpropagation through time
+with Adam on a bounded, documented sample of labelled rows.
+
+For reading, weights are multiples of 1/64 and states of 1/1024: sums of their products are exact in single precision
+whatever their order, so a text's numbers do not depend on what is read beside it, nor on how rows are partitioned.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import fresh, holds, spread
+from strandfold.llm.common import fresh, spread, text_slices
 
 UNKNOWN = "und"
-_SEGMENT = re.compile(rb"[^\x20\t-\r]{1,32}")
-_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+CHUNK, CONTEXT, ROWS = 256, 32, 1024
+#: No byte of UTF-8 has this value.
+NONE = 255
+_LETTER = np.array([chr(b).isalpha() if b < 128 else b != NONE for b in range(256)])
 
 
 @dataclass
@@ -33,8 +38,13 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Piecewise linear sigmoid, several times cheaper than an exponential."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _gate_slope(g: np.ndarray) -> np.ndarray:
+    return np.where((g > 0) & (g < 1), np.float32(0.25), np.float32(0))
 
 
 def _run(w: dict, d: str, gates: np.ndarray, keep: bool = False):
@@ -43,7 +53,7 @@ def _run(w: dict, d: str, gates: np.ndarray, keep: bool = False):
     h = np.zeros((batch, n), np.float32)
     out, kept = np.empty((steps, batch, n), np.float32), []
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        zr = _sigmoid(gates[t, :, : 2 * n] + h @ w["u" + d][:, : 2 * n])
+        zr = _gate(gates[t, :, : 2 * n] + h @ w["u" + d][:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
         c = np.tanh(gates[t, :, 2 * n :] + (r * h) @ w["u" + d][:, 2 * n :])
         new = h + z * (c - h)
@@ -54,13 +64,81 @@ def _run(w: dict, d: str, gates: np.ndarray, keep: bool = False):
     return out, kept
 
 
-def _forward(w: dict, ids: np.ndarray) -> np.ndarray:
-    """Probabilities (steps, batch, languages) of byte ids (steps, batch)."""
-    # A byte's input gates are one row of a table of 256.
-    logits = np.concatenate([_run(w, d, (w["e"] @ w["w" + d] + w["b" + d])[ids])[0] for d in "fb"], axis=2) @ w["o"] + w["ob"]
-    logits -= logits.max(axis=2, keepdims=True)
+def _on_grid(x: np.ndarray) -> np.ndarray:
+    """States between -1 and 1 as multiples of 1/1024."""
+    x *= np.float32(1024)
+    np.rint(x, out=x)
+    x *= np.float32(1 / 1024)
+    return x
+
+
+def _coarse(u: np.ndarray) -> np.ndarray:
+    """Weights as multiples of 1/64, at most 16: with states on their grid, 16 products add up exactly."""
+    return np.clip(np.rint(u * 64), -1024, 1024).astype(np.float32) / np.float32(64)
+
+
+def _read(w: dict, d: str, ids: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Hidden states (steps first to last, batch, hidden) of one direction over ids (steps, batch). Before a text's first
+    byte (in reading order) the state stays zero."""
+    # A byte's input gates are one row of a table of 256; the gates' slope and middle are in the tables as well.
+    n, u = w["u" + d].shape[0], w["u" + d]
+    table = (w["e"] @ w["w" + d] + w["b" + d]).astype(np.float32)
+    gates, rest = np.ascontiguousarray(table[:, : 2 * n] * np.float32(0.25) + np.float32(0.5)), np.ascontiguousarray(table[:, 2 * n :])
+    u_gates, u_rest = np.ascontiguousarray(_coarse(u[:, : 2 * n]) * np.float32(0.25)), np.ascontiguousarray(_coarse(u[:, 2 * n :]))
+    h = np.zeros((ids.shape[1], n), np.float32)
+    out = np.empty((last - first, ids.shape[1], n), np.float32)
+    inside = ids != NONE
+    full = inside.all(axis=1)
+    for t in range(last) if d == "f" else range(len(ids) - 1, first - 1, -1):
+        zr = gates.take(ids[t], axis=0)
+        zr += h @ u_gates
+        np.clip(zr, 0, 1, out=zr)
+        c = rest.take(ids[t], axis=0)
+        c += _on_grid(zr[:, n:] * h) @ u_rest
+        np.tanh(c, out=c)
+        c -= h
+        c *= zr[:, :n]
+        h = _on_grid(h + c)
+        if not full[t]:
+            h *= inside[t, :, None]
+        if first <= t < last:
+            out[t - first] = h
+    return out
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Over the first axis."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    return logits / logits.sum(axis=2, keepdims=True)
+    logits /= logits.sum(axis=0)
+    return logits
+
+
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text of each row, first byte of each row's chunk, ids (CONTEXT + chunk + CONTEXT, ROWS)) of all texts' chunks."""
+    n = -(-np.diff(offsets) // CHUNK)
+    text = np.repeat(np.arange(len(n)), n)
+    start = offsets[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * CHUNK
+    size = np.minimum(offsets[text + 1] - start, CHUNK)
+    order = np.argsort(size, kind="stable")
+    for at in range(0, len(order), ROWS):
+        rows = order[at : at + ROWS]
+        steps = 2 * CONTEXT + int(size[rows].max())
+        place = start[rows] - CONTEXT + np.arange(steps)[:, None]
+        ids = np.full((steps, ROWS), NONE, np.uint8)
+        inside = (place >= offsets[text[rows]]) & (place < offsets[text[rows] + 1])
+        ids[:, : len(rows)] = np.where(inside, data[np.clip(place, 0, len(data) - 1)], NONE)
+        yield text[rows], start[rows], ids
+
+
+def _labels(w: dict, ids: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    """(first step, probabilities (languages, steps, batch)) of the chunk's steps, some at a time."""
+    end, batch, o = len(ids) - CONTEXT, ids.shape[1], _coarse(w["o"]).T
+    both = np.concatenate([_read(w, d, ids, CONTEXT, end) for d in "fb"], axis=2)
+    some = max(1, most // (batch * len(o)))
+    for t in range(0, len(both), some):
+        part = both[t : t + some]
+        yield t, _softmax((o @ part.reshape(-1, part.shape[2]).T + w["ob"][:, None]).reshape(len(o), len(part), batch))
 
 
 def _gradients(w: dict, ids: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
@@ -88,8 +166,8 @@ def _gradients(w: dict, ids: np.ndarray, target: np.ndarray) -> tuple[dict, floa
             d_h = d_h + d_both[t, :, k * n : (k + 1) * n]
             d_c = d_h * z * (1 - c * c)
             d_rh = d_c @ u[:, 2 * n :].T
-            d_z = d_h * (c - h) * z * (1 - z)
-            d_r = d_rh * h * r * (1 - r)
+            d_z = d_h * (c - h) * _gate_slope(z)
+            d_r = d_rh * h * _gate_slope(r)
             d_gate = np.concatenate([d_z, d_r, d_c], axis=1)
             g["u" + d][:, : 2 * n] += h.T @ d_gate[:, : 2 * n]
             g["u" + d][:, 2 * n :] += (r * h).T @ d_c
@@ -101,38 +179,25 @@ def _gradients(w: dict, ids: np.ndarray, target: np.ndarray) -> tuple[dict, floa
     return g, loss
 
 
-def segments(text: bytes) -> list[bytes]:
-    """The text's segments in tokens that hold a letter; a token longer than a segment counts by its pieces."""
-    return [s for s in _SEGMENT.findall(text)]
-
-
-def fit(texts: list[tuple[str, str]], hidden: int = 8, embedding: int = 10, steps: int = 1200, batch: int = 256, seed: int = 7) -> Model:
-    """Train on (text, language) pairs. Batches hold segments of one length and as many of each language."""
+def fit(texts: list[tuple[str, str]], hidden: int = 8, embedding: int = 10, steps: int = 550, batch: int = 128, length: int = 40, seed: int = 7) -> Model:
+    """Train on (text, language) pairs. Batches hold windows of `length` bytes, as many of each language."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in texts})
-    by: dict[int, list[list[np.ndarray]]] = {}
-    found: dict[tuple[int, int], list[bytes]] = {}
-    for text, lang in texts:
-        for s in segments(text.encode()):
-            found.setdefault((len(s), langs.index(lang)), []).append(s)
-    weight: dict[int, int] = {}
-    for (size, lang), rows in found.items():
-        by.setdefault(size, [None] * len(langs))[lang] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, size)
-        weight[size] = weight.get(size, 0) + size * len(rows)
-    sizes = [s for s, rows in by.items() if sum(r is not None for r in rows) > 1 or len(langs) == 1]
-    if not sizes:
-        sizes = list(by)
-    chance = np.array([weight[s] for s in sizes], float)
+    data = []
+    for lang in langs:
+        own = np.frombuffer(b"\n".join(t.encode() for t, x in texts if x == lang) + b"\n", np.uint8)
+        data.append(np.tile(own, -(-length // len(own))))
     init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     w = {"e": init(256, embedding) * 4, "o": init(2 * hidden, len(langs)), "ob": np.zeros(len(langs), np.float32)}
     for d in "fb":
         w |= {"w" + d: init(embedding, 3 * hidden), "u" + d: init(hidden, 3 * hidden), "b" + d: np.zeros(3 * hidden, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    for step in range(1, steps + 1 if sizes else 1):
-        rows = by[sizes[rng.choice(len(sizes), p=chance / chance.sum())]]
-        have = [i for i, r in enumerate(rows) if r is not None]
-        target = rng.choice(have, batch)
-        ids = np.stack([rows[t][rng.integers(len(rows[t]))] for t in target]).T
+    for step in range(1, steps + 1):
+        target = rng.integers(len(langs), size=batch)
+        ids = np.empty((length, batch), np.uint8)
+        for k, t in enumerate(target.tolist()):
+            at = rng.integers(len(data[t]) - length + 1)
+            ids[:, k] = data[t][at : at + length]
         g, _ = _gradients(w, ids, target)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         rate = 0.01 * min(1, 2 * (1 - step / (steps + 1)))
@@ -144,85 +209,27 @@ def fit(texts: list[tuple[str, str]], hidden: int = 8, embedding: int = 10, step
     return Model(langs, w)
 
 
-def position_probabilities(model: Model, texts: list[bytes]) -> list[np.ndarray]:
-    """(positions, languages) for each segment: the label probabilities of every byte."""
-    out: list[np.ndarray] = [None] * len(texts)
-    sizes = np.array([len(s) for s in texts])
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        for at in range(0, len(rows), 8192):
-            part = rows[at : at + 8192]
-            ids = np.frombuffer(b"".join(texts[i] for i in part), np.uint8).reshape(-1, size).T
-            p = _forward(model.weights, ids)
-            for k, i in enumerate(part.tolist()):
-                out[i] = p[:, k]
-    return out
-
-
-class _Table:
-    """Summed label probabilities and positions of segments seen, in a table of bounded size."""
-
-    def __init__(self, model: Model, most: int = 500_000) -> None:
-        self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.rows = np.zeros((1 << 16, len(self.model.langs) + 1), np.float32)
-
-    def add(self, texts: list[bytes]) -> None:
-        first = len(self.places)
-        while first + len(texts) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        sizes = np.array([len(s) for s in texts])
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            for at in range(0, len(rows), 8192):
-                part = rows[at : at + 8192]
-                ids = np.frombuffer(b"".join([texts[i] for i in part]), np.uint8).reshape(-1, size).T
-                if (letters := _LETTER[ids].any(axis=0)).any():
-                    self.rows[first + part[letters], :-1] = _forward(self.model.weights, ids[:, letters]).sum(axis=0)
-                    self.rows[first + part[letters], -1] = size
-        self.places.update(zip(texts, range(first, first + len(texts)), strict=True))
-
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, languages): mean label probabilities over the positions of each text."""
-        if len(self.places) > self.most:
-            self.clear()
-        found = [_SEGMENT.findall(t) for t in texts]
-        new = list({s for f in found for s in f if s not in self.places})
-        if new:
-            self.add(new)
-        get = self.places.__getitem__
-        out = np.zeros((len(texts), len(self.model.langs)))
-        for i, f in enumerate(found):
-            total = np.zeros(self.rows.shape[1])
-            for at in range(0, len(f), 65536):
-                total += self.rows[list(map(get, f[at : at + 65536]))].sum(axis=0, dtype=np.float64)
-            out[i] = total[:-1] / max(total[-1], 1)
-        return out
-
-
-_TABLES: dict[bytes, _Table] = {}
-
-
-def _table(model: Model) -> _Table:
-    """The process's table for this model: Python workers are reused, so later tasks find earlier segments."""
-    own = b"".join(model.weights[k].tobytes() for k in sorted(model.weights)) + repr(model.langs).encode()
-    holds("language", _TABLES.clear)
-    if own not in _TABLES:
-        _TABLES.clear()
-        _TABLES[own] = _Table(model)
-    return _TABLES[own]
+def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, languages): the mean label probabilities over the positions of each text that hold a letter."""
+    total, n = np.zeros((len(offsets) - 1, len(model.langs))), np.zeros(len(offsets) - 1)
+    for text, _, ids in _chunks(data, offsets):
+        letter = _LETTER[ids[CONTEXT : len(ids) - CONTEXT, : len(text)]]
+        own = np.zeros((len(text), len(model.langs)), np.int64)
+        for t, p in _labels(model.weights, ids):
+            # Whole numbers add up to the same in any order.
+            p = p[:, :, : len(text)] * (letter[t : t + p.shape[1]] * np.float32(1 << 20))
+            own += np.rint(p, out=p).sum(axis=1, dtype=np.float64).astype(np.int64).T
+        np.add.at(total, text, own)
+        np.add.at(n, text, letter.sum(axis=0))
+    return total / (np.maximum(n, 1) * (1 << 20))[:, None]
 
 
 #: Languages that one model can learn.
 LANGUAGES = 1000
 
 
-def training_rows(df: DataFrame, text: str, lang: str, per_language: int, chars: int) -> list[tuple[str, str]]:
-    """At most about `per_language` texts of each language, chosen by a hash of the text, and of each at most `chars`
-    characters from a place that the hash chooses."""
+def training_rows(df: DataFrame, text: str, lang: str, per_language: int) -> list[tuple[str, str]]:
+    """At most about `per_language` different whole texts of each language, chosen by a hash of the text."""
     own = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t != ''")
     h = F.xxhash64("t", F.lit(11))
     # Only different texts count: copies hash alike and are one text of the sample.
@@ -232,16 +239,22 @@ def training_rows(df: DataFrame, text: str, lang: str, per_language: int, chars:
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages; none is left out silently")
     every = F.coalesce(*(F.when(F.col("l") == k, F.lit(max(1, n // per_language))) for k, n in counts.items()))
-    start = F.pmod(F.xxhash64("t", F.lit(12)), F.greatest(F.length("t") - chars, F.lit(0)) + 1)
-    picked = own.where(F.pmod(h, every) == 0).select(F.substr("t", (start + 1).cast("int"), F.lit(chars)).alias("t"), "l", h.alias("h"))
-    # Copies hash alike: one row of each, and a hard limit for the driver's sake.
-    rows = picked.dropDuplicates(["t", "l"]).orderBy("h", "t", "l").limit(2 * per_language * len(counts)).collect()
-    return [(r["t"], r["l"]) for r in rows]
-
-
-def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, chars: int = 1500, **options) -> Model | None:
-    """Fit on a sample of `per_language` labelled texts of `chars` characters each; None if there is no labelled text."""
-    rows = training_rows(df, text, lang, per_language, chars)
+    # A language of few texts may have none at a multiple of the step; its smallest hash is taken as well.
+    least = own.groupBy("l").agg(F.min(h).alias("least"))
+    picked = own.withColumn("h", h).join(F.broadcast(least), "l").where((F.pmod("h", every) == 0) | (F.col("h") == F.col("least")))
+    rows = picked.select("t", "l", "h").dropDuplicates(["h", "l"]).orderBy("h", "l").collect()
+    # Hashes are even, so twice the number wanted is not exceeded in practice; the rows of a language beyond it are left.
+    kept, taken = [], dict.fromkeys(counts, 0)
+    for r in rows:
+        taken[r["l"]] += 1
+        if taken[r["l"]] <= 2 * per_language:
+            kept.append((r["t"], r["l"]))
+    return kept
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, **options) -> Model | None:
+    """Fit on a sample of about `per_language` labelled texts of each language; None if there is no labelled text."""
+    rows = training_rows(df, text, lang, per_language)
     return fit(rows, **options) if rows else None
 
 
@@ -258,47 +271,45 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
     schema = ", ".join([*([df.select(*kept)._jdf.schema().toDDL()] if kept else []), "lang_pred string, score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model) if model else None
         for batch in batches:
-            texts, has = batch.column(text), batch.column(letter).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            rows = [i for i, x in enumerate(has) if x and model]
-            at = 0
-            while at < len(rows):
-                part, size = [], 0
-                while at < len(rows) and size < 1 << 20:
-                    part.append((rows[at], texts[rows[at]].as_py().encode()))
-                    size += len(part[-1][1])
-                    at += 1
-                p = table.pooled([t for _, t in part])
+            has = batch.column(letter).to_numpy(zero_copy_only=False)
+            names, scores = np.full(len(has), UNKNOWN, object), np.zeros(len(has))
+            for i, j, data, offsets in text_slices(batch, text) if model else ():
+                p = pooled(model, data, offsets)
                 best = p.argmax(axis=1)
-                for k, (i, _) in enumerate(part):
-                    names[i], scores[i] = model.langs[best[k]], min(1.0, float(p[k, best[k]]))
+                known = has[i:j]
+                names[i:j][known] = np.array(model.langs, object)[best[known]]
+                scores[i:j][known] = np.minimum(p.max(axis=1)[known], 1.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
     return spread(df).withColumn(letter, F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False))).mapInArrow(work, schema)
 
 
 def label_positions(text: Column, model: Model) -> Column:
-    """array<struct<start,end,lang>>: the label of every byte in tokens, equal neighbours of a segment as one run."""
+    """array<struct<start,end,lang>>: the label of every byte of the text, equal neighbours as one run. A null or empty text
+    has none; rows are independent, so repeated rows give equal results and an empty table gives no rows."""
 
     @F.pandas_udf("array<struct<start:int,end:int,lang:string>>")
     def label(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            runs = []
-            found = list(_SEGMENT.finditer((t or "").encode()))
-            for m, p in zip(found, position_probabilities(model, [m[0] for m in found]), strict=True):
-                best = p.argmax(axis=1)
-                cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
-                runs += [{"start": m.start() + a, "end": m.start() + b, "lang": model.langs[best[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            out.append(runs)
+            data = np.frombuffer((t or "").encode(), np.uint8)
+            best = np.zeros(len(data), np.int64)
+            for rows, start, ids in _chunks(data, np.array([0, len(data)])):
+                for t0, p in _labels(model.weights, ids):
+                    place = start + t0 + np.arange(p.shape[1])[:, None]
+                    inside = ids[CONTEXT + t0 : CONTEXT + t0 + p.shape[1], : len(rows)] != NONE
+                    best[place[inside]] = p[:, :, : len(rows)].argmax(axis=0)[inside]
+            cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)] if len(best) else [0]
+            out.append([{"start": a, "end": b, "lang": model.langs[best[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         return pd.Series(out)
 
     return label(text)
 
 
 def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose language is identified with a pooled probability of at least `least`; columns as in df."""
+    """The rows whose language is identified with a pooled probability of at least `least`; columns as in df. Null and empty
+    texts and texts without a letter go; repeated rows and null keys are judged like any other; an empty table, and any
+    table without a model, gives an empty one."""
     found = predict(df, model, text)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*df.columns)

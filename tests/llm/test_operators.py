@@ -166,7 +166,28 @@ def test_language(spark):
     assert [r["lang_pred"] for r in langid.predict(odd, model).orderBy(F.col("text").asc_nulls_first()).collect()] == ["und", "und", "und", "aa"]
     assert langid.train(df.where("false")) is None and langid.predict(odd, None).where("lang_pred = 'und'").count() == 4
     runs = odd.where("text like 'kalo%'").select(langid.label_positions(F.col("text"), model).alias("r")).first()["r"]
-    assert sum(x["end"] - x["start"] for x in runs) == 4 * 9000
+    assert sum(x["end"] - x["start"] for x in runs) == 5 * 9000 and runs[0]["lang"] == "aa"
+
+
+def test_language_is_independent_of_neighbours():
+    """A text alone, among others, and cut by hand into its chunks' contexts gives the same numbers."""
+    model = langid.fit([("kalo mira tose velu " * 20, "aa"), ("schtr grmpf zwrk pfnt " * 20, "bb")], steps=30)
+    texts = [prose(RNG.randint(1, 400)).encode() for _ in range(40)] + [b"x", b""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    together = langid.pooled(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for i, t in enumerate(texts):
+        alone = langid.pooled(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert (alone[0] == together[i]).all()
+    # The network read step by step over a text shorter than a chunk.
+    t = next(t for t in texts if 100 < len(t) < langid.CHUNK)
+    ids = np.frombuffer(t, np.uint8)[:, None]
+    w = model.weights
+    x = w["e"][ids]
+    both = np.concatenate([langid._run(w, d, x @ w["w" + d] + w["b" + d])[0] for d in "fb"], axis=2)
+    p = langid._softmax((both @ w["o"] + w["ob"]).T)[:, 0].T
+    letters = langid._LETTER[ids[:, 0]]
+    alone = langid.pooled(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    assert np.abs(p[letters].mean(axis=0) - alone).max() < 0.02  # weights are rounded for reading
 
 
 def test_language_gradients():
@@ -398,11 +419,11 @@ def test_language_sample_of_many_copies(spark):
     few = [(f"kalo mira {i}", "aa") for i in range(40)] * 200
     many = [(f"schtr grmpf {i}", "bb") for i in range(700)]
     df = spark.createDataFrame(few + many, "text string, lang string")
-    rows = langid.training_rows(df, "text", "lang", 50, 1500)
+    rows = langid.training_rows(df, "text", "lang", 50)
     assert sum(lang == "aa" for _, lang in rows) == 40 and 25 <= sum(lang == "bb" for _, lang in rows) <= 90
     langs = spark.range(langid.LANGUAGES + 1).select(F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
     with pytest.raises(ValueError):
-        langid.training_rows(langs, "text", "lang", 50, 1500)
+        langid.training_rows(langs, "text", "lang", 50)
 
 
 def test_neighbours_near_equal(spark):
