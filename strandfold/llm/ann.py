@@ -25,7 +25,14 @@ def usable(vector: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision, summed in the order of the components."""
+    """In double precision, summed in the order of the components. Vectors whose squares would leave the range of doubles are
+    divided by their largest component first; others are taken as they are."""
+
+    def ranged(x: Column) -> Column:
+        most = F.array_max(F.transform(x, lambda c: F.abs(c.cast("double"))))
+        return F.when(most.between(1e-100, 1e100), x).otherwise(F.transform(x, lambda c: c.cast("double") / most))
+
+    a, b = ranged(a), ranged(b)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -192,10 +199,11 @@ def build_graph(nodes: DataFrame, k: int = 32, rounds: int = 6, tables: int = 8,
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 160, widen: int = 40, k: int = 32, most: int = 30) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 160, widen: int = 40, k: int = 32) -> DataFrame:
     """(q, node, sim): the beam of each query (q, start, unit) after greedy search from the node `start`.
 
     Each step expands the `widen` best nodes of the beam that are not expanded yet; the search ends when no beam has any.
+    That comes about, for a beam only gets better and what has left it does not come back.
     """
     links = written(_both_ways(graph, k).groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "links")
     asked = written(queries.select("q", "start", F.col("unit").alias("q_unit")), "asked")
@@ -203,7 +211,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 1
     state = written(first, "beam")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
     turn = Window.partitionBy("q", "done").orderBy(F.desc("sim"), "node")
-    for _ in range(most):
+    while True:
         marked = state.withColumn("open", ~F.col("done") & (F.row_number().over(turn) <= widen))
         frontier = marked.where("open").select("q", "node")
         found = frontier.join(links, "node").select("q", F.explode("nbrs").alias("node")).distinct().join(state.select("q", "node"), ["q", "node"], "left_anti")
@@ -222,8 +230,8 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     other rows; ranks from 1, ties to the smaller key.
 
     Vectors that are null, zero or hold null or non-finite components, rows with a null key, and vectors of another length
-    than the most common one take no part, neither as queries nor as candidates. A key is one row: repeated rows with one
-    key and vector count once. Fewer candidates than `top` give fewer ranks; an empty table gives none.
+    than the most common one take no part, neither as queries nor as candidates. Repeated rows with one key and vector count once;
+    a key with several vectors asks with each of them and is found by the nearest, once. Fewer candidates than `top` give fewer ranks; an empty table gives none.
     """
     names = fresh(df, "is_query_")
     rows = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias(names[0]))
@@ -250,5 +258,6 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     near = near.withColumn("r", F.row_number().over(final)).where(F.col("r") <= top + 1).select("q", "found", "score")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")
     pairs = members.where("asks").select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(near, "q").where("found != query_id")
+    pairs = pairs.groupBy("query_id", "found").agg(F.max("score").alias("score"))
     ranked = pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", F.col("found").alias(key), "score")

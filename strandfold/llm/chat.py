@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import fresh
+from strandfold.llm.common import fresh, running_spans
 
 # The markers of this template, then the control strings of other templates that are taken away as well.
 TURN, ROLE, MORE, END = "<|turn|>", "<|role|>", "<|more|>", "<|end|>"
@@ -69,13 +69,8 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         return F.concat(body, F.array(part(F.lit(END + "\n"), no)))
 
     turns = turns.withColumn(parts, F.flatten(F.transform(F.col(blocks), block_parts)))
-    span = "array<struct<start:bigint,end:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["s"]).cast("bigint")
-        return F.struct(end.alias("at"), F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(F.col(parts), F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans")), step, lambda acc: acc["spans"])
+    pieces = F.transform(F.col(parts), lambda p: F.struct(F.lit(0).alias("skip"), F.length(p["s"]).alias("size"), p["loss"].alias("keep"), F.lit(0).alias("value")))
+    spans = F.transform(running_spans(pieces, "int"), lambda x: F.struct(x["start"], x["end"]))
     return turns.select(F.col(conv), F.array_join(F.transform(F.col(parts), lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 

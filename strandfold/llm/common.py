@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,9 +50,37 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out if the scan has fewer partitions than the session has cores (one row group is one task)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out if the scanned files are smaller than one split for each core, so that every core has rows.
+
+    What is moved is thereby less than cores times maxPartitionBytes; sizes come from the plan, so nothing is run.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(2 * cores) if scanned < cores * split else df
+
+
+def running_spans(pieces: Column, value: str, block: int = 512) -> Column:
+    """array<struct<start,end,value>> of the kept pieces of an array<struct<skip,size,keep,value>>: a piece starts `skip`
+    after the end of the one before. Long arrays are walked in blocks, for appending to an array copies it."""
+    kind = f"array<struct<start:bigint,end:bigint,value:{value}>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["skip"]
+        end = start + x["size"]
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    def walked(some: Column) -> Column:
+        return F.aggregate(some, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found")), step)
+
+    last = F.floor((F.size(pieces) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: walked(F.slice(pieces, b * block + 1, F.lit(block))))
+    before = F.aggregate(blocks, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    moved = F.zip_with(F.slice(before, F.lit(1), last + 1), blocks, lambda o, x: F.transform(x["found"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["value"].alias("value"))))
+    return F.when(F.size(pieces) <= block, walked(pieces)["found"]).otherwise(F.flatten(moved))
 
 
 def keep_one(df: DataFrame, grouped: DataFrame, key: str, text: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandfold.llm.common import fresh, spread, written
+from strandfold.llm.common import fresh, running_spans, spread, written
 
 # Kinds in order, and patterns that find the leftmost non-overlapping matches of the contract's patterns in
 # linear time (a match can begin only where a run begins, or where the match before it ended; runs are never given back).
@@ -64,17 +64,10 @@ def positions(text: Column, pattern: str, wanted) -> Column:
     the matches give every start.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<start:bigint,end:bigint,value:string>>"
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        found = F.when(wanted(pair["match"]), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("value"))))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
-
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
-    return F.when(F.size(matches) > 0, walked).otherwise(F.array().cast(kind))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    piece = lambda g, m: F.struct(F.length(g).alias("skip"), F.length(m).alias("size"), wanted(m).alias("keep"), m.alias("value"))
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, piece)
+    return F.when(F.size(matches) > 0, running_spans(pieces, "string")).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -96,12 +89,13 @@ def entity(span: Column) -> Column:
 
 
 def around(text: Column, span: Column, words: int = 8, chars: int = 160) -> Column:
-    """The terms in the `words` words before and after a span, looking at most `chars` characters far."""
-    before = F.substr(text, F.greatest(span["start"] - chars, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(chars)).cast("int"))
-    after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(chars))
-    whole = F.when(span["start"] > chars, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    left = F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0))
-    right = F.regexp_extract_all(F.lower(F.regexp_replace(after, rf"(?s)^(.{{{chars - 1}}})\S$", "$1")), F.lit(TERM), F.lit(0))
+    """The terms among the `words` terms before and after a span that lie whole within `chars` characters of it."""
+    # One character more tells whether the window's edge cuts a word; what it cuts is left out.
+    before = F.substr(text, F.greatest(span["start"] - chars, F.lit(1)).cast("int"), F.least(span["start"], F.lit(chars + 1)).cast("int"))
+    after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(chars + 1))
+    left = F.when(span["start"] > chars, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    right = F.when(F.length(after) > chars, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    left, right = (F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)) for x in (left, right))
     return F.concat(F.slice(left, F.greatest(F.size(left) - words + 1, F.lit(1)), F.lit(words)), F.slice(right, F.lit(1), F.lit(words)))
 
 
@@ -120,19 +114,19 @@ def disclosing_terms(found: DataFrame, text: str, spans: str, generalise_at: flo
     counted = seen.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     # A term occurs in at least as many texts as it occurs in near any entity, which bounds its PMI from above: pairs
     # that cannot reach the threshold go before the corpus is read again.
-    total = found.select(content.alias("content")).distinct().agg(F.count("*").alias("n_all"))
+    n_all = F.lit(found.select(content.alias("content")).distinct().count())
     near_terms = F.array_distinct(F.flatten(F.transform("near", lambda x: x["terms"])))
     near_any = seen.select(F.explode(near_terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    counted = counted.join(entities, "entity").join(near_any, "term").join(F.broadcast(total))  # one row
-    most = F.col("n_ct") * F.pow(F.col("n_all") / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-6)
+    counted = counted.join(entities, "entity").join(near_any, "term")
+    most = F.col("n_ct") * F.pow(n_all / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-6)
     counted = written(counted.where(F.col("n_near") <= most).drop("n_near"), "pairs")
     wanted = counted.select("term").distinct()
     # Frequency of the terms in question over all different texts; nothing is read if there are none.
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
     frequency = found.select(content.alias("content"), F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("content").alias("n_t"))
     rated = counted.join(frequency, "term")
-    information = F.log(F.col("n_all") / F.col("n_c"))
-    pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * F.col("n_all") / (F.col("n_c") * F.col("n_t")))
+    information = F.log(n_all / F.col("n_c"))
+    pmi = F.log(F.least(F.col("n_ct"), F.col("n_t")) * n_all / (F.col("n_c") * F.col("n_t")))
     rated = rated.select("term", F.when(information > 0, pmi / information).otherwise(0.0).alias("strength")).groupBy("term").agg(F.max("strength").alias("strength"))
     kind = F.when(F.col("strength") >= remove_at - 1e-9, "remove").otherwise("generalise")
     return written(rated.where(F.col("strength") >= generalise_at - 1e-9).select("term", kind.alias("kind")), "terms")

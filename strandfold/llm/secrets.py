@@ -28,9 +28,13 @@ HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?=M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{32,}+")
 LINE = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*+([A-Za-z0-9+/]++)")
 PADDING = re.compile(r"={0,2}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
-#: Object identifiers of private-key algorithms (RSA, EC, Ed25519, X25519), in DER.
-ALGORITHMS = [bytes.fromhex(x) for x in ("06092a864886f70d010101", "06072a8648ce3d0201", "06032b6570", "06032b656e")]
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]++")
+# Object identifiers in DER of private-key algorithms (RSA, RSA-PSS, DSA, EC, X25519, X448, Ed25519, Ed448),
+# and of password-based encryption (PBES2), which a sealed private key names.
+ALGORITHMS = [bytes.fromhex(x) for x in ("06092a864886f70d010101", "06092a864886f70d01010a", "06072a8648ce380401", "06072a8648ce3d0201", "06032b656e", "06032b656f", "06032b6570", "06032b6571")]
+SEALED = bytes.fromhex("06092a864886f70d01050d")
+#: Bytes that the modulus or prime of a key has at least.
+LEAST_MODULUS = 32
 
 
 def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -55,20 +59,24 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_private_der(data: bytes) -> bool:
-    """PKCS#1 (version and eight integers), PKCS#8 (version, algorithm, octets) or SEC1 (version 1, octets)."""
+    """PKCS#1 (version, eight integers), DSA (version, five integers), PKCS#8 (version, algorithm, octets), sealed PKCS#8
+    (encryption, octets) or SEC1 (version 1, octets of a curve's size)."""
     top = der_items(data, 0, len(data)) if data[:1] == b"\x30" else None
-    if not top or len(top) != 1:
+    items = der_items(data, top[0][1], top[0][2]) if top and len(top) == 1 else None
+    if not items:
         return False
-    items = der_items(data, top[0][1], top[0][2])
-    if not items or items[0][0] != 0x02 or items[0][2] - items[0][1] != 1:
+    tags, sizes = [x[0] for x in items], [x[2] - x[1] for x in items]
+    inner = data[items[0][1] : items[0][2]]
+    if tags == [0x30, 0x04]:
+        return inner.startswith(SEALED) and der_items(inner, 0, len(inner)) is not None
+    if tags[0] != 0x02 or sizes[0] != 1:
         return False
-    tags = [x[0] for x in items]
-    if len(items) >= 9 and all(t == 0x02 for t in tags[:9]):
-        return True
+    if len(items) in (6, 9, 10) and all(t == 0x02 for t in tags[: len(items) - (len(items) == 10)]):
+        return sizes[1] >= LEAST_MODULUS
     if len(items) >= 3 and tags[1:3] == [0x30, 0x04]:
         inner = data[items[1][1] : items[1][2]]
         return der_items(inner, 0, len(inner)) is not None and any(inner.startswith(a) for a in ALGORITHMS)
-    return len(items) >= 2 and tags[1] == 0x04 and data[items[0][1]] == 1 and items[1][2] - items[1][1] in (20, 24, 28, 32, 48, 66)
+    return len(items) >= 2 and tags[1] == 0x04 and data[items[0][1]] == 1 and sizes[1] in (20, 24, 28, 32, 48, 66)
 
 
 def is_ssh_private(data: bytes) -> bool:
@@ -190,9 +198,3 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
 
     return df.mapInArrow(work, schema)
 
-
-def digest(spans_df: DataFrame, spans: str, base: list[str]) -> tuple:
-    """(base_sha256, spans) columns: kind:start:end, comma-joined, in the order of the array."""
-    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    own = F.filter(F.col(spans), lambda s: s["kind"].isin(base))
-    return F.sha2(said(own), 256).alias("base_sha256"), said(F.col(spans)).alias("spans")

@@ -2,8 +2,9 @@
 
 A row's key is 63 bits: a hash of its text above a hash of its id, so equal texts are neighbours and a group too large for
 one shard can still be cut. Exact bytes and rows below evenly spaced probe keys are counted over all partitions at once;
-an interval that holds a splitter and more than the tolerance is probed again, 2**12 times finer, until splitters are within
-tolerance or the interval is a single key. Then rows move once, to slices of known size and known first slot.
+an interval that holds a splitter and more than the tolerance is probed again, until splitters are within tolerance or the
+interval is a single key. Then rows move once, to slices of bounded size and known first slot; only the table of slice
+bounds grows with the data, by one row for each `slice_bytes`.
 """
 
 from __future__ import annotations
@@ -18,34 +19,30 @@ from strandfold.llm.common import fresh, spread, written
 KEY_BITS, STEP = 63, 12
 
 
-def _counts(keyed: DataFrame, intervals: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(first key, width in bits, bytes, rows) of the non-empty sub-intervals of disjoint intervals (first key, bits)."""
-    starts = np.array([a for a, _ in intervals], np.int64)
-    widths = np.array([w for _, w in intervals], np.int64)
+def _counts(keyed: DataFrame, intervals: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first key, width in bits, bytes, rows) of the non-empty sub-intervals of disjoint intervals (first key, bits, bits
+    to refine by)."""
+    starts, widths, down = (np.array(c, np.int64) for c in zip(*intervals, strict=True))
+    inner = np.maximum(widths - down, 0)
 
     @F.pandas_udf("bigint")
     def probe(keys: pd.Series) -> pd.Series:
         k = keys.to_numpy(np.int64)
         at = np.searchsorted(starts, k, "right") - 1
         safe = np.maximum(at, 0)
-        down = np.maximum(widths[safe] - STEP, 0)
         inside = (at >= 0) & ((k - starts[safe]) >> widths[safe] == 0)
-        return pd.Series(np.where(inside, starts[safe] + ((k - starts[safe]) >> down << down), -1))
+        return pd.Series(np.where(inside, starts[safe] + ((k - starts[safe]) >> inner[safe] << inner[safe]), -1))
 
-    found = keyed.groupBy(probe("key").alias("at")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).where("at >= 0").collect()
-    out = []
-    for r in found:
-        i = int(np.searchsorted(starts, r["at"], "right")) - 1
-        out.append((r["at"], max(0, int(widths[i]) - STEP), r["b"], r["n"]))
-    return sorted(out)
+    found = keyed.groupBy(probe("key").alias("at")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).where("at >= 0").toPandas()
+    which = np.searchsorted(starts, found["at"].to_numpy(np.int64), "right") - 1
+    return sorted(zip(found["at"].tolist(), inner[which].tolist(), found["b"].tolist(), found["n"].tolist(), strict=True))
 
 
 def histogram(keyed: DataFrame, shards: int, tolerance: float, slice_bytes: int) -> list[tuple[int, int, int, int]]:
     """Exact (first key, bits, bytes, rows) of disjoint intervals over all keys. Refined until no interval that holds a
     splitter has more than `tolerance` of a shard's bytes, and none has more than a slice's, unless it is one key."""
-    cells = _counts(keyed, [(0, KEY_BITS)])
+    cells = _counts(keyed, [(0, KEY_BITS, STEP)])
     total = sum(c[2] for c in cells)
-    slice_bytes = max(slice_bytes, total >> 11)
     while True:
         kept, split, below = [], [], 0
         for c in cells:
@@ -55,16 +52,19 @@ def histogram(keyed: DataFrame, shards: int, tolerance: float, slice_bytes: int)
             below += c[2]
         if not split:
             return cells
-        cells = sorted(kept + _counts(keyed, [(at, w) for at, w, _, _ in split]))
+        # As fine as four cells a slice, and all the way where a splitter must be found.
+        fine = lambda b: min(STEP, max(1, (4 * b // slice_bytes).bit_length()))
+        cuts = {c[0] for c in split if c[2] <= slice_bytes}
+        cells = sorted(kept + _counts(keyed, [(at, w, STEP if at in cuts else fine(b)) for at, w, b, _ in split]))
 
 
-def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.002, slice_bytes: int = 32 << 20) -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.002, slice_bytes: int = 64 << 20) -> DataFrame:
     """df with size (UTF-8 bytes of the text plus 1, null: 1), shard (0 to shards-1) and slot (gapless from 0 in a shard).
 
     Law: bytes. Splitters are exact to `tolerance` of a shard's share, or to one key's rows. Equal texts are neighbours and
     lie in one shard, unless a splitter falls among them. Rows keep their columns; columns named size, shard or slot are
     replaced. Null ids and repeated rows are rows like any other; an empty table gives an empty one. What is gathered is
-    one row per probe, at most 2**12 for each interval over tolerance, whatever the number of rows.
+    one row for each non-empty probe: about four for each `slice_bytes` of the data, and 2**12 for each splitter and round.
     """
     df = df.select(*(c for c in df.columns if c.lower() not in ("size", "shard", "slot")))
     k, s, first = fresh(df, "key_", "slice_", "first_")

@@ -67,18 +67,33 @@ def test_secrets(docs, texts):
         assert [tuple(s)[:3] for s in r["secrets"] if s["kind"] in secrets.BASE] == brute.secrets(texts[r["doc_id"]] or "")
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
 def test_secret_structures():
     import base64
 
-    rsa = bytes.fromhex("3021020100") + b"".join(bytes([2, 2, 1, i]) for i in range(8))
-    rsa = bytes([0x30, len(rsa) - 2]) + rsa[2:]
+    rsa = _der(0x30, b"\x02\x01\x00", _der(2, b"\x01" * 40), *(bytes([2, 2, 1, i]) for i in range(7)))
+    assert not secrets.is_private_der(_der(0x30, *(b"\x02\x01\x01",) * 9))
+    dsa = _der(0x30, b"\x02\x01\x00", *(_der(2, b"\x01" * 40),) * 5)
+    sealed = _der(0x30, _der(0x30, secrets.SEALED, _der(0x30, b"\x05\x00")), _der(4, b"x" * 50))
+    ed = _der(0x30, b"\x02\x01\x00", _der(0x30, bytes.fromhex("06032b6571")), _der(4, b"x" * 34))
+    assert all(map(secrets.is_private_der, (dsa, sealed, ed))) and not secrets.is_private_der(_der(0x30, _der(0x30, b"\x05\x00"), _der(4, b"x" * 50)))
+    long = _der(0x30, b"\x02\x01\x00", *(_der(2, b"\x01" * 2000),) * 8)
+    lines = base64.b64encode(long).decode()
+    lines = "\n".join(lines[i : i + 64] for i in range(0, len(lines), 64))
+    assert lines.count("\n") > 300 and secrets.scan(f"a\n{lines}\nb") == [(2, 2 + len(lines), "der")]
     assert secrets.is_private_der(rsa) and not secrets.is_private_der(rsa[:-1]) and not secrets.is_private_der(b"0" * 40)
     key = base64.b64encode(rsa).decode()
     assert [(k, (a, b)) for a, b, k in secrets.scan(f"key {key} end")] == [("der", (4, 4 + len(key)))]
     assert [k for _, _, k in secrets.scan(f"key {key}\nword end")] == ["der"]
     head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
     assert [k for _, _, k in secrets.scan(f"{head}.eyJzdWIiOjF9.abc")] == ["jwt"]
-    assert not secrets.scan("eyJhYmNkZWZnaGlqa2w.eyJzdWIiOjF9.abc")
+    assert not secrets.scan("eyJhYmNkZWZnaGlqa2w.eyJzdWIiOjF9.abc") and not secrets.scan(f"{head}.eyJzdWIiOjF9. ")
 
 
 def test_simhash(docs, texts):
@@ -386,6 +401,35 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     assert sorted(r["text"] for r in decontaminate.drop_leaks(leaking, bench).collect()) == sorted(texts)
 
 
+def test_pii_windows_cut_no_words(spark):
+    texts = [f"{'w ' * 3}zebulonia {'-' * (160 - 5)} a@b.example x", f"{'q' * 200} a@b.example {'z' * 300} end", "near a@b.example far " + "y " * 90 + "alpha"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    span = F.struct(F.instr("t", "a@b").cast("bigint").alias("n"))
+    spans = df.select("t", F.struct((span["n"] - 1).alias("start"), (span["n"] + 10).alias("end")).alias("s"))
+    got = [r[0] for r in spans.select(pii.around(F.col("t"), F.col("s"))).collect()]
+    assert got == [[], [], ["near", "far"]]
+    fits = spark.createDataFrame([(f"zebulonia {'-' * 150} a@b.example {'-' * 155} abc def",)], "t string").select("t", F.struct(F.lit(161).cast("bigint").alias("start"), F.lit(172).cast("bigint").alias("end")).alias("s"))
+    assert fits.select(pii.around(F.col("t"), F.col("s"))).first()[0] == ["abc"]
+
+
+def test_long_walks(spark):
+    """Beyond one block of running spans: many findings in one text, many turns in one conversation."""
+    text = "".join(f"{'x' * (i % 7)} a{i}@b.co, " for i in range(1300))
+    r = pii.sanitise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] in pii.BASE] == brute.pii(text)
+    rows = [(1, t, "assistant" if t % 3 else "user", f"t{t}" * (t % 5)) for t in range(1500)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert out.select(chat.read_loss(F.col("formatted"), F.col("loss_spans"))).first()[0] == "".join(x for _, _, a, x in rows if a == "assistant")
+
+
+def test_neighbours_tiny_and_huge(spark):
+    rows = [(i, [s * (1.0 + i % 7), s * (2.0 - i % 3)]) for i, s in ((i, (1e-200, 1e200, 1.0)[i % 3]) for i in range(30))] + [(3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0).collect()
+    assert len(got) == 15 and all(-1.0000001 <= r["score"] <= 1.0000001 for r in got) and all(r["score"] > 0.99 for r in got if r["rank"] == 1)
+    assert len({(r["query_id"], r["vec_id"]) for r in got}) == 15
+
+
 def test_pii_rates_pairs_of_few_documents(spark):
     once = f"{prose(20)} ask Quillfeather at quill@corp.example or {prose(20)}"
     twice = [f"{prose(20)} ask Brackenbury at +1 (269) 555-3296 now {prose(20)}" for _ in range(2)]
@@ -399,8 +443,7 @@ def test_secrets_in_adjacent_lines():
     import base64
     import struct
 
-    rsa = bytes.fromhex("020100") + b"".join(bytes([2, 2, 1, i]) for i in range(20))
-    der = bytes([0x30, len(rsa)]) + rsa
+    der = _der(0x30, b"\x02\x01\x00", _der(2, b"\x01" * 40), *(bytes([2, 2, 1, i]) for i in range(7)))
     field = lambda b: struct.pack(">I", len(b)) + b
     ssh = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(b"p" * 51) + field(b"q" * 136)
     d, k = base64.b64encode(der).decode(), base64.b64encode(ssh).decode()
