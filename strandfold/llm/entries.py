@@ -95,4 +95,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries whose whole result SQL can give: exact neighbours, chats, repeated bytes."""
+    dot = "list_reduce([{0}[i] * {1}[i] FOR i IN range(1, len({0}) + 1)], lambda x, y: x + y)"
+    neighbours = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt({dot.format("e", "e")}) AS norm FROM v),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {dot.format("q.e", "c.e")} / (q.norm * c.norm) AS score FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+    controls = "|".join(rf"\{first}\\*(?:{rest})" for first, rest in chat._rests().items())
+    escapes = "len(regexp_extract_all({0}, '" + controls + "'))"
+    said = "</s>[INST] ok [/INST]"
+    block = len(chat.TURN + chat.ROLE + chat.END) + 1
+    chats = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}'))),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t),
+c AS (SELECT *, length(text) + {escapes.format("text")} + CASE WHEN before = role THEN {len(chat.MORE)} ELSE {block} + length(role) + {escapes.format("role")} END AS chars FROM o),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+    # Windows are taken in stretches of 4096 bytes, for substr() walks from the start of its string.
+    repeated = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT rid, doc_id, h, length(h) // 2 AS n FROM d),
+b AS (SELECT rid, n, o, substr(h, 2 * o + 1, 2 * (4096 + 199)) AS part FROM (SELECT rid, n, h, unnest(range(0, n - 199, 4096)) AS o FROM n WHERE n >= 200)),
+w AS (SELECT rid, o + i AS p, md5(substr(part, 2 * i + 1, 400)) AS k FROM (SELECT rid, o, part, unnest(range(0, least(4096, n - 199 - o))) AS i FROM b)),
+rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+s AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS begins FROM rep),
+i AS (SELECT rid, p, sum(begins) OVER (PARTITION BY rid ORDER BY p) AS island FROM s),
+spans AS (SELECT rid, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY rid, island),
+sums AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z FROM spans GROUP BY rid),
+gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT rid, z, n FROM sums JOIN n USING (rid)),
+kept AS (SELECT rid, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gaps JOIN n USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM n LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
+    return {"op6_neighbours": neighbours, "op9_chat": chats, "op10_repeats": repeated}
