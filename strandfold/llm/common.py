@@ -21,13 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WRITTEN: list[DataFrame] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, gives Catalyst true sizes."""
+    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, gives Catalyst true sizes.
+
+    Results of operators read such tables when they are used; discard_written() deletes what is left of them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -36,6 +42,13 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[:] = [x for x in _WRITTEN if x is not df]
+
+
+def discard_written() -> None:
+    """Delete all tables of written() that are left; for callers that have used or stored the results of operators."""
+    for df in list(_WRITTEN):
+        discard(df)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
