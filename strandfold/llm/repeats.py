@@ -201,7 +201,8 @@ def find_repeats(texts: DataFrame, size: int = 200, hot: int = 5000) -> DataFram
     more than `hot` contents are split."""
     by_gram, by_content = Window.partitionBy("gram"), Window.partitionBy("gram", "content")
     every = written(_find_runs(texts, size), "runs")
-    runs = every.where("sent").withColumn("n", F.count("*").over(by_content)).withColumn("nth", F.row_number().over(by_content.orderBy("h", "h2", "first")))
+    # Dealt by gram once, which serves both windows.
+    runs = every.where("sent").repartition("gram").withColumn("n", F.count("*").over(by_content)).withColumn("nth", F.row_number().over(by_content.orderBy("h", "h2", "first")))
     runs = runs.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_gram))
     runs = written(runs.where("kinds > 1 or n > 1 or repeated").drop("content", "sent"), "runs")
     span = ["h", "h2", F.col("first").cast("bigint").alias("start"), (F.col("last") + size).cast("bigint").alias("end")]
