@@ -147,7 +147,7 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(h2[own]), pa.array(start), pa.array(start + p[last] - p[new] + size)], names=["h", "h2", "start", "end"])
 
 
-def _compare(pieces: DataFrame, size: int, shard_bytes: int = 4 << 20) -> DataFrame:
+def _compare(pieces: DataFrame, size: int, shard_bytes: int = 2 << 20) -> DataFrame:
     """(h, h2, start, end): repeated stretches among the pieces (gram, h, h2, first, bytes) that share a gram.
 
     A task's pieces come in order of their grams; whole grams make shards of about `shard_bytes`."""
@@ -232,7 +232,7 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = 200, removed:
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
             cut, left = [], []
             for t, s in zip(batch.column(own), batch.column(spans), strict=True):
                 data, merged = t.as_py().encode(), []
