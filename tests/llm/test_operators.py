@@ -379,6 +379,32 @@ def test_pipeline_near_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, df, "").collect()) == sorted(set(want))
 
 
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """Many texts around one, most just too unlike it, some like one another; blocks far smaller than the buckets."""
+    from strandfold.llm import neardup
+
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    rows = [" ".join(base)]
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(5, 55), rng.choice((1, 2, 3, 4))):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+        if i % 9 == 0:
+            rows.append(" ".join([*w, f"y{i}"]))
+    want = _near_groups(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    for block in (neardup.BLOCK, 1500):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = {r["key"]: r["group"] for r in neardup.near_copies(df).collect()}
+        least = {}
+        for k, g in sorted(got.items()):
+            least.setdefault(g, k)
+        assert [least[got[k]] for k in range(len(rows))] == want
+    assert 5 < len(set(want)) < 80
+
+
 def test_pipeline_near_copies_null_and_repeated_ids(spark):
     import corpus_pipeline
 
