@@ -199,10 +199,10 @@ def build_graph(nodes: DataFrame, k: int = 32, rounds: int = 6, tables: int = 8,
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 160, widen: int = 40, k: int = 32) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 160, k: int = 32) -> DataFrame:
     """(q, node, sim): the beam of each query (q, start, unit) after greedy search from the node `start`.
 
-    Each step expands the `widen` best nodes of the beam that are not expanded yet; the search ends when no beam has any.
+    Each step expands all nodes of the beam that are not expanded yet; the search ends when no beam has any.
     That comes about, for a beam only gets better and what has left it does not come back.
     """
     links = written(_both_ways(graph, k).groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "links")
@@ -210,13 +210,11 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 1
     first = _scored(asked.select("q", F.col("start").alias("node"), "q_unit").join(nodes, "node")).withColumn("done", F.lit(False))
     state = written(first, "beam")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    turn = Window.partitionBy("q", "done").orderBy(F.desc("sim"), "node")
     while True:
-        marked = state.withColumn("open", ~F.col("done") & (F.row_number().over(turn) <= widen))
-        frontier = marked.where("open").select("q", "node")
+        frontier = state.where("not done").select("q", "node")
         found = frontier.join(links, "node").select("q", F.explode("nbrs").alias("node")).distinct().join(state.select("q", "node"), ["q", "node"], "left_anti")
         scored = _scored(found.join(nodes, "node").join(asked, "q")).withColumn("done", F.lit(False))
-        both = marked.select("q", "node", "sim", (F.col("done") | F.col("open")).alias("done")).union(scored)
+        both = state.withColumn("done", F.lit(True)).union(scored)
         following = written(both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r"), "beam")
         discard(state)
         state = following
