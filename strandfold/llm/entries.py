@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.llm import ann, chat, decontaminate, langid, packing, pii, repeats, secrets, sharding, simhash
+from strandfold.llm import align, ann, bestfit, chat, decontaminate, langid, packing, pii, repeats, search, secrets, sharding, simhash
 
-CAPACITY, SHARDS = 1024, 16
+CAPACITY, SHARDS, WIDE = 1024, 16, 2048
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +88,25 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack_best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), capacity=WIDE)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = align.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_pii, op2_secrets, op3_decontaminate, op4_language, op5_shards, op6_neighbours, op7_simhash, op8_packing, op9_chat, op10_repeats)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_pii, op2_secrets, op3_decontaminate, op4_language, op5_shards, op6_neighbours, op7_simhash, op8_packing, op9_chat, op10_repeats, op11_bestfit, op12_search, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,4 +143,15 @@ gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS f
 kept AS (SELECT rid, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gaps JOIN n USING (rid) GROUP BY rid)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM n LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
-    return {"op6_neighbours": neighbours, "op9_chat": chats, "op10_repeats": repeated}
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate({{0}}, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    ranked = f"""WITH q AS (SELECT rid, item_id, term, count(*) AS times FROM (SELECT rid, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS rid, item_id, {terms.format("text")} AS t FROM benchmark)) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS did, doc_id, {terms.format("coalesce(text, '')")} AS t FROM documents),
+c AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+p AS (SELECT did, term, count(*) AS tf FROM (SELECT did, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+m AS (SELECT did, doc_id, 100 - 25 + (25 * len(t)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT rid, item_id, did, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM p JOIN w USING (term) JOIN q USING (term) JOIN m USING (did) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+    return {"op12_search": ranked, "op6_neighbours": neighbours, "op9_chat": chats, "op10_repeats": repeated}

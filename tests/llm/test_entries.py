@@ -27,13 +27,13 @@ def rows_of(query, spark, sf, *columns):
 
 
 def test_every_query_is_registered():
-    names = ["pipeline", *(f"op{i}_" for i in range(1, 11))]
+    names = ["pipeline", *(f"op{i}_" for i in range(1, 14))]
     assert [n for n in names if not any(q.startswith(n) for q in entries.queries())] == []
 
 
 def test_sql(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for name, sql in entries.oracle_sql().items():
         df = entries.queries()[name](spark, sf)
