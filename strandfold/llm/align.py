@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from strandfold.llm.common import fresh, holds, spread, written
 from strandfold.llm.packing import _STABLE, _ranked, _tokenizer
 
-#: U+180E is white space to some Unicode versions.
-_CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-_ODD = re.compile(r"[\s᠎][\s᠎]|^[\s᠎]|[\s᠎]$|[^\S ] | [^\S ]")
+#: White space that is no plain space, to any Unicode version.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if (chr(c).isspace() or c == 0x180E) and chr(c) != " "]
+_SPACE = frozenset([" ", *_OTHER_SPACE])
+_CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
+
+
+def _words(text: str) -> list[str]:
+    """The text cut at each single space between two characters that are no white space."""
+    odd = "  " in text or text[0] in _SPACE or text[-1] in _SPACE or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACE)
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 @cache
@@ -62,29 +70,20 @@ def _pieces_stay_apart(path: str) -> bool:
     return not any(b" " in t.lstrip(b" ") for t in _token_bytes_b(path))
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two tokenisations of the same bytes: groups end where both have an end; a link is a pair of tokens
-    whose bytes overlap. Tokens without bytes join the group before which they stand and link with nothing."""
-    groups, links = [], []
-    own_a, own_b, i, j, end_a, end_b = [], [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        # The next token of the side that is behind; both begin together after a group.
-        if end_a <= end_b and i < len(a):
-            begin, end_a = end_a, end_a + len(a_bytes[a[i]])
-            own_a.append(a[i])
-            i += 1
-            if begin < end_b and end_a > begin:
-                links.append((own_a[-1], own_b[-1]))
-        else:
-            begin, end_b = end_b, end_b + len(b_bytes[b[j]])
-            own_b.append(b[j])
-            j += 1
-            if begin < end_a and end_b > begin:
-                links.append((own_a[-1], own_b[-1]))
-        if end_a == end_b and own_a and own_b:
-            groups.append((own_a, own_b))
-            own_a, own_b = [], []
-    return groups, links
+class _Flat:
+    """A growing array of int64."""
+
+    def __init__(self) -> None:
+        self.data, self.size = np.zeros(1 << 16, np.int64), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(self.size + len(more), np.int64)])
+        self.data[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.size]
 
 
 class Aligner:
@@ -92,76 +91,92 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, most: int = 250_000) -> None:
         self.a_path, self.b_path, self.most = a_path, b_path, most
-        self.a_bytes, self.b_bytes = _token_bytes_a(a_path), _token_bytes_b(b_path)
+        self.bytes_of = _token_bytes_a(a_path), _token_bytes_b(b_path)
+        self.lengths = tuple(np.array([len(t) for t in own], np.int64) for own in self.bytes_of)
+        names = [str(i) for i in range(max(map(len, self.bytes_of)))]
+        self.told = {c: [n + c for n in names] for c in ",|;\n"}  # ids with what follows them
         self.by_words = _pieces_stay_apart(b_path) and _ranked(a_path) is not None
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.texts: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links; A -1: no alignment
-        self.pairs: list[int] = []  # a << 32 | b of all words, one after the other
-
-    def _ids_a(self, text: str) -> list[int]:
-        ranked = _ranked(self.a_path)
-        if ranked and _STABLE.fullmatch(text):
-            return ranked.encode_ordinary(" " + text)
-        tokenizer = _tokenizer(self.a_path)
+        #: Tokens of A (-1: no alignment), of B, groups, links of each word; links of all words as a << 32 | b.
+        self.sizes, self.pairs = [_Flat() for _ in range(4)], _Flat()
+
+    def _ids_a(self, words: list[str]) -> list[list[int]]:
+        ranked, tokenizer = _ranked(self.a_path), _tokenizer(self.a_path)
+        plain = ranked.encode_ordinary if ranked else None
         tokenizer.encode_special_tokens = True
         try:
-            return tokenizer.encode(" " + text, add_special_tokens=False).ids
+            return [plain(" " + w) if plain and _STABLE.fullmatch(w) else tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
         finally:
             tokenizer.encode_special_tokens = False
 
-    def _add(self, word: str) -> int:
-        a, b = self._ids_a(word), _piece_model(self.b_path).encode(word)
-        whole = (" " + word).encode()
-        if b"".join([self.a_bytes[x] for x in a]) != whole or b"".join([self.b_bytes[x] for x in b]) != whole:
-            self.sizes.append((-1, 0, 0, 0))
-            self.texts.append("")
-        else:
-            groups, links = aligned(a, b, self.a_bytes, self.b_bytes)
-            self.sizes.append((len(a), len(b), len(groups), len(links)))
-            self.texts.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
-            self.pairs += [x << 32 | y for x, y in links]
-        self.numbers[word] = len(self.sizes) - 1
-        return len(self.sizes) - 1
-
-    def words(self, text: str) -> list[int]:
-        """The numbers of the text's words; an empty text has none."""
-        if not text:
-            return []
-        parts = [text] if not self.by_words else _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        got = list(map(self.numbers.get, parts))
-        if None in got:
-            got = [self.numbers[w] if x is None and w in self.numbers else self._add(w) if x is None else x for w, x in zip(parts, got, strict=True)]
-        return got
+    def learn(self, words: list[str]) -> None:
+        """Align words that are not known yet, all at once: their bytes lie one after the other, so ends of tokens that
+        both sides have are ends of groups, and the B tokens that an A token overlaps follow from sorted ends."""
+        ids = self._ids_a(words), _piece_model(self.b_path).encode(words)
+        wholes = [(" " + w).encode() for w in words]
+        for side, own in enumerate(ids):
+            if b"".join([self.bytes_of[side][x] for w in own for x in w]) != b"".join(wholes):
+                for i, w in enumerate(own):
+                    if b"".join([self.bytes_of[side][x] for x in w]) != wholes[i]:
+                        ids[0][i], ids[1][i] = [], []
+        n_a, n_b = (np.array([len(w) for w in own], np.int64) for own in ids)
+        a, b = (np.array([x for w in own for x in w], np.int64) for own in ids)
+        word_a, word_b = np.repeat(np.arange(len(words)), n_a), np.repeat(np.arange(len(words)), n_b)
+        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        group_ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(group_ends, end_a), np.searchsorted(group_ends, end_b)
+        last_of_group = np.searchsorted(end_a, group_ends)
+        n_groups = np.bincount(word_a[last_of_group], minlength=len(words))
+        first = np.searchsorted(end_b, end_a - self.lengths[0][a], "right")
+        n = np.searchsorted(end_b - self.lengths[1][b], end_a) - first
+        linked = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        self.pairs.add(np.repeat(a, n) << 32 | b[linked])
+        n_links = np.bincount(word_a, n, len(words)).astype(np.int64)
+        for own, more in zip(self.sizes, (np.where(n_a > 0, n_a, -1), n_b, n_groups, n_links), strict=True):
+            own.add(more)
+        # Ids in the order they are told in, each with what follows: within a side, between sides, groups and words.
+        order = np.lexsort((np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)]), np.concatenate([group_a, group_b])))
+        ids_told, of_b = np.concatenate([a, b])[order], order >= len(a)
+        group, word = np.concatenate([group_a, group_b])[order], np.concatenate([word_a, word_b])[order]
+        ends = lambda x: np.append(x[1:] != x[:-1], True)
+        follows = np.where(ends(word), 3, np.where(ends(group), 2, np.where(ends(of_b), 1, 0))) if len(order) else np.zeros(0, np.int64)
+        tables = [self.told[c] for c in ",|;\n"]
+        told = iter("".join([tables[f][i] for f, i in zip(follows.tolist(), ids_told.tolist(), strict=True)]).split("\n"))
+        self.texts += [next(told) if k else "" for k in n_a.tolist()]
+        for w in words:
+            self.numbers[w] = len(self.numbers)
 
     def batch(self, texts: list[str | None], digest: bool) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sizes, groups, a, b, document, times) of some texts: per text the four sizes and the groups, or their digest;
         the different links of each text with their number, sorted by a, b, document."""
-        words = [self.words(t or "") for t in texts]
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
+        parts = [[] if not t else _words(t) if self.by_words else [t] for t in texts]
+        words = [list(map(self.numbers.get, own)) for own in parts]
+        new = list(dict.fromkeys(w for own, got in zip(parts, words, strict=True) if None in got for w, x in zip(own, got, strict=True) if x is None))
+        for at in range(0, len(new), 1 << 14):
+            self.learn(new[at : at + (1 << 14)])
+        words = [list(map(self.numbers.__getitem__, own)) if None in got else got for own, got in zip(parts, words, strict=True)]
         lengths = np.array([len(w) for w in words])
-        flat = np.fromiter((x for w in words for x in w), np.int64, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(words), np.int64, int(lengths.sum()))
+        sizes = [own.view() for own in self.sizes]
         owner = np.repeat(np.arange(len(texts)), lengths)
         bad = np.zeros(len(texts), bool)
-        bad[owner[sizes[flat, 0] < 0]] = True
-        per = np.zeros((len(texts), 4), np.int64)
-        for c in range(4):
-            per[:, c] = np.bincount(owner, sizes[flat, c], len(texts))
+        bad[owner[sizes[0][flat] < 0]] = True
+        per = np.stack([np.bincount(owner, own[flat], len(texts)).astype(np.int64) for own in sizes], axis=1)
         per[bad] = 0
-        told = ["" if bad[i] or not w else ";".join(map(self.texts.__getitem__, w)) for i, w in enumerate(words)]
+        told = ["" if bad[i] or not w else ";".join([self.texts[x] for x in w]) for i, w in enumerate(words)]
         if digest:
             told = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in told]
         keep = ~bad[owner]
         unit, times = np.unique(owner[keep] << 32 | flat[keep], return_counts=True)
         owner, flat = unit >> 32, unit & 0xFFFFFFFF
-        n = sizes[flat, 3]
-        begin = np.cumsum(sizes[:, 3]) - sizes[:, 3]
-        begin[sizes[:, 0] < 0] = 0
-        at = np.arange(int(n.sum())) + np.repeat(begin[flat] - (np.cumsum(n) - n), n)
-        pairs = np.array(self.pairs, np.int64)[at]
+        n = sizes[3][flat]
+        begin = (np.cumsum(sizes[3]) - sizes[3])[flat]
+        at = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+        pairs = self.pairs.view()[at]
         # a in the upper 24 bits, b in 24, the text in 16.
         keys = ((pairs >> 32) << 40) | ((pairs & 0xFFFFFFFF) << 16) | np.repeat(owner, n)
         order = np.argsort(keys)
@@ -228,7 +243,7 @@ def _align_all(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, d
             return keys[new], np.add.reduceat(n, new)
 
         for keys, texts in _groups(batches, chars):
-            if len(aligner.sizes) > aligner.most:
+            if len(aligner.numbers) > aligner.most:
                 aligner.clear()
             per, told, a, b, doc, times = aligner.batch(texts, digest)
             n = len(texts)

@@ -106,18 +106,30 @@ _MOST_WORDS, _LONGEST = 400_000, 64
 
 @cache
 def _word_model(path: str):
-    """(the tokenizer's model, how it shows bytes) if words between white space are encoded alone and in lower case."""
+    """A rank-merging encoder of parts that each end in a zero byte, which stands for the mark of a word's end; several
+    times faster on new words than the tokenizer. None unless the file's merges are its ids in order and its words are
+    what lies between white space, in lower case, taken apart by the pattern above."""
+    import tiktoken
+
     with open(path) as f:
         made = json.load(f)
+    model = made["model"]
     normal = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
     first, *then = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
     same = first.get("pattern") == {"Regex": _FILE_PATTERN} and first.get("behavior") == "Removed" and first.get("invert")
     bytes_only = [x["type"] for x in then] == ["ByteLevel"] and not then[0]["add_prefix_space"] and not then[0]["use_regex"]
-    if normal != ["NFC", "Replace", "Lowercase"] or not same or not bytes_only or made["post_processor"] or made["model"].get("dropout"):
+    if normal != ["NFC", "Replace", "Lowercase"] or not same or not bytes_only or made["post_processor"] or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    mark, vocab = model["end_of_word_suffix"], model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if not mark or any(vocab[x + y] != 512 + i for i, (x, y) in enumerate(merges)):
         return None
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
-    return _tokenizer(path).model, {b: chr(256 + i) for i, b in enumerate(other)}
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    ranks = {bytes(byte_of[c] for c in t.removesuffix(mark)) + b"\0" * t.endswith(mark): i for t, i in vocab.items() if i < 512 + len(merges)}
+    ranks[b"\0"] = 512 + len(merges)  # never alone: no part is empty
+    return tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
 
 def _release() -> None:
@@ -127,9 +139,7 @@ def _release() -> None:
 
 
 def _word_ids(word: str, path: str) -> bytes:
-    model, shown = _word_model(path)
-    parts = [p if p.isascii() else p.encode().decode("latin-1").translate(shown) for p in _PART.findall(word)]
-    return array("I", [t.id for p in parts for t in model.tokenize(p)]).tobytes()
+    return array("I", _word_model(path).encode_ordinary("\0".join([*_PART.findall(word), ""]))).tobytes()
 
 
 def encode(texts: list[str], path: str, last: int) -> list[bytes]:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pytest
@@ -190,7 +191,10 @@ def aligned_by_force(texts):
                 at += len(own[x])
             spans.append(s)
         cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        groups = [";".join(",".join(str(x) for s, e, x in side if lo <= s and e <= hi) for side in spans) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+        groups = [([], []) for _ in cuts]
+        for side in (0, 1):
+            for _, e, x in spans[side]:
+                groups[bisect_left(cuts, e)][side].append(str(x))
         links, i = [], 0
         for s, e, x in spans[0]:
             while i < len(spans[1]) and spans[1][i][1] <= s:
@@ -199,7 +203,7 @@ def aligned_by_force(texts):
             while j < len(spans[1]) and spans[1][j][0] < e:
                 links.append((x, spans[1][j][2]))
                 j += 1
-        out.append((len(a), len(b), [g.replace(";", "|") for g in groups], links))
+        out.append((len(a), len(b), ["|".join(",".join(side) for side in g) for g in groups], links))
         holders.update(set(links))
     most = Counter()
     for (x, y), n in holders.items():
