@@ -191,9 +191,14 @@ _MADE = "kind tinyint, uid bigint, key {key}, n_a bigint, n_b bigint, n_groups b
 _DOCUMENT, _COUNTS, _POSTINGS = 0, 1, 2
 
 
-def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Values as little-endian uint32, cut at `ends`."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(values.astype("<u4"))])
+def _blobs(values: np.ndarray, ends: np.ndarray, kind: str = "<u4") -> pa.Array:
+    """Values as little-endian integers, cut at `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((np.dtype(kind).itemsize * ends).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def _values(blobs: pa.Array) -> np.ndarray:
+    """All uint32 of the blobs, one after the other."""
+    return np.frombuffer(b"".join(x for x in blobs.to_pylist() if x is not None), "<u4")
 
 
 def _runs(a: np.ndarray, most: int) -> np.ndarray:
@@ -283,24 +288,27 @@ def _groups(batches: Iterator[pa.RecordBatch], chars: int, most: int = 1 << 16)
 
 
 def _contributions(blocks: DataFrame) -> DataFrame:
-    """(uid, n_best, count_sum), several rows a document, from blocks in order of (a, slice, kind)."""
+    """(base, doc, hit, total) from blocks in order of (a, slice, kind): what the links of a task add to the documents
+    numbered from `base`, summed by document; there are at most as many entries as postings."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counts, best = None, np.zeros(1, np.int64), -1
         out: list[tuple[np.ndarray, ...]] = []
 
         def told() -> pa.RecordBatch:
-            uid, hit, total = (np.concatenate(x) for x in zip(*out, strict=True))
+            base, doc, hit, total = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
-            order = np.argsort(uid, kind="stable")
-            uid = uid[order]
-            new = np.flatnonzero(np.append(True, np.diff(uid) != 0))
-            return pa.RecordBatch.from_arrays([pa.array(uid[new]), pa.array(np.add.reduceat(hit[order], new)), pa.array(np.add.reduceat(total[order], new))], names=["uid", "n_best", "count_sum"])
+            order = np.argsort(base + doc, kind="stable")
+            base, doc = base[order], doc[order]
+            new = np.flatnonzero(np.append(True, np.diff(base + doc) != 0))
+            base, doc, hit, total = base[new], doc[new], np.add.reduceat(hit[order], new), np.add.reduceat(total[order], new)
+            ends = np.append(np.flatnonzero(np.append(True, np.diff(base) != 0)), len(base))
+            return pa.RecordBatch.from_arrays([pa.array(base[ends[:-1]]), _blobs(doc, ends), _blobs(hit, ends, "<i8"), _blobs(total, ends, "<i8")], names=["base", "doc", "hit", "total"])
 
         for batch in batches:
             a, part, kind, uid, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "slice", "kind", "uid", "n"))
-            b, times = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").astype(np.int64) for c in ("b", "times"))
-            doc = np.frombuffer(b"".join(x for x in batch.column("doc").to_pylist() if x is not None), "<u4")
+            b, times = (_values(batch.column(c)).astype(np.int64) for c in ("b", "times"))
+            doc = _values(batch.column("doc"))
             ends = np.concatenate([[0], np.cumsum(n)])
             posted = np.concatenate([[0], np.cumsum(np.where(kind == _POSTINGS, n, 0))])
             cuts = [0, *(np.flatnonzero((np.diff(a) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(a)] if len(a) else [0]
@@ -318,13 +326,39 @@ def _contributions(blocks: DataFrame) -> DataFrame:
                 if best < 0:
                     best = int(counts.max())
                 c = counts[own]
-                out.append((np.repeat(uid[lo:hi], n[lo:hi]) + doc[posted[lo] : posted[hi]], many * (c == best), many * c))
+                out.append((np.repeat(uid[lo:hi], n[lo:hi]), doc[posted[lo] : posted[hi]].astype(np.int64), many * (c == best), many * c))
                 if sum(len(x[0]) for x in out) > 1 << 20:
                     yield told()
         if out:
             yield told()
 
-    return blocks.mapInArrow(work, "uid bigint, n_best bigint, count_sum bigint")
+    return blocks.mapInArrow(work, "base bigint, doc binary, hit binary, total binary")
+
+
+def _by_document(parts: DataFrame) -> DataFrame:
+    """(uid, n_best, count_sum): the sums of all parts (base, doc, hit, total), a row a document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, met = None, np.zeros((2, 0), np.int64), np.zeros(0, bool)
+
+        def told() -> pa.RecordBatch:
+            doc = np.flatnonzero(met)
+            return pa.RecordBatch.from_arrays([pa.array(now + doc), pa.array(sums[0, doc]), pa.array(sums[1, doc])], names=["uid", "n_best", "count_sum"])
+
+        for batch in batches:
+            for base, doc, *more in zip(*(batch.column(c) for c in ("base", "doc", "hit", "total")), strict=True):
+                if base.as_py() != now:
+                    if now is not None:
+                        yield told()
+                    now, sums, met = base.as_py(), np.zeros((2, 1 << 16), np.int64), np.zeros(1 << 16, bool)
+                own = np.frombuffer(doc.as_py(), "<u4")
+                met[own] = True
+                for k, x in enumerate(more):
+                    sums[k, own] += np.frombuffer(x.as_py(), "<i8")  # a document stands once in a part
+        if now is not None:
+            yield told()
+
+    return parts.repartition("base").sortWithinPartitions("base").mapInArrow(work, "uid bigint, n_best bigint, count_sum bigint")
 
 
 def align(docs: DataFrame, a_tokenizer: str, b_model: str, key: str = "doc_id", text: str = "text", digest: bool = False, most: int = 1 << 18, chars: int = 2 << 20) -> DataFrame:
@@ -347,7 +381,7 @@ def align(docs: DataFrame, a_tokenizer: str, b_model: str, key: str = "doc_id",
     # A block of postings goes to one slice, a block of counts to all slices of its id.
     one = F.when(F.col("kind") == _POSTINGS, F.array(F.pmod(F.xxhash64("uid", F.crc32("b")), F.col("slices")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))
     dealt = blocks.select("a", "kind", "uid", "n", "b", "doc", "times", F.explode(one).alias("slice")).repartition("a", "slice").sortWithinPartitions("a", "slice", "kind")
-    sums = _contributions(dealt).groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = _by_document(_contributions(dealt))
     own = made.where(F.col("kind") == _DOCUMENT).select("uid", "key", "n_a", "n_b", "n_groups", "n_links", "groups")
     zero = F.lit(0).cast("bigint")
     (name,) = fresh(made.select("n_a", "n_b", "n_groups", "n_links", "groups"), key)
