@@ -48,7 +48,8 @@ def from_packed_hex(packed: Column, k: int) -> Column:
 
 
 def record_hex(count: Column, kmer: Column, k: int) -> Column:
-    """A packed record: one count byte below 255, else FF and 32 bits little-endian; then the packed k-mer."""
-    h = F.lpad(F.hex(count), 8, "0")
+    """A packed record: one count byte below 255, else FF and 32 bits little-endian; then the packed k-mer. The format has no
+    larger count than 2^32 - 1, which stands for all beyond."""
+    h = F.lpad(F.hex(F.least(count, F.lit((1 << 32) - 1))), 8, "0")
     little = F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
     return F.concat(F.when(count < 255, F.substring(h, 7, 2)).otherwise(F.concat(F.lit("FF"), little)), packed_hex(kmer, k))

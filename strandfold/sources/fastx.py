@@ -1,19 +1,16 @@
 """Reads from FASTA, FASTQ and line-per-read files, plain, gzip or bzip2, from any storage that Spark reads.
 
-All go through Spark's text reader, which decompresses, and splits plain and bzip2 files. The lines of a FASTQ file's
-first split are parsed record by record, so a file that is not split may hold records of any number of lines. Later splits
-begin in the middle of a record: there lines count in fours, the place in the four being found from the lines themselves.
+All go through Spark's text reader, which decompresses, and splits plain and bzip2 files; fastq.py finds records in splits
+that begin anywhere. read_sequences() gives a read as one row; ranges.py gives long plain FASTA records in parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import chain, groupby, islice
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandfold.sources import fastq, ranges
+
 # Extensions of types and codecs, case-sensitive.
 TYPES = {"fastq": "fastq", "fq": "fastq", "fasta": "fasta", "fa": "fasta", "ml": "lines"}
 CODECS = {"gz": "gzip", "bz2": "bzip2"}
@@ -58,63 +55,19 @@ def expand(spark: SparkSession, path: str, kind: str | None = None) -> list[str]
     return found
 
 
-def fastq_reads(lines: Iterator[str]) -> Iterator[str]:
-    """Sequences of FASTQ records: lines up to `+`, then as many quality characters as bases."""
-    for line in lines:
-        if not line.startswith("@"):
-            continue
-        parts = []
-        for line in lines:
-            if line.startswith("+"):
-                break
-            parts.append(line)
-        if not parts:
-            continue
-        seq, seen = "".join(parts), 0
-        while seen < len(seq):
-            quality = next(lines, None)
-            if quality is None:
-                break
-            seen += len(quality)
-        yield seq
-
-
-def _place(lines: list[str]) -> int:
-    """The place in its record (0: header, 1: bases, 2: `+`, 3: quality) of the first of the lines."""
-
-    def fits(place: int) -> bool:
-        at = lambda k: lines[(k - place) % 4 :: 4]
-        after = [(lines[i], lines[i + 2]) for i in range((1 - place) % 4, len(lines) - 2, 4)]
-        return all(x.startswith("@") for x in at(0)) and all(x.startswith("+") for x in at(2)) and all(len(a) == len(b) for a, b in after)
-
-    found = [p for p in range(4) if fits(p)]
-    if not found:
-        raise ValueError("records of other than four lines in a file that is split; raise spark.sql.files.maxPartitionBytes beyond its size")
-    # A handful of lines at a file's end may fit twice; then whichever place makes the bases look like bases.
-    return min(found, key=lambda p: sum(not x.isalpha() for x in lines[(1 - p) % 4 :: 4]))
-
-
-def split_reads(lines: Iterator[str], start: int) -> Iterator[str]:
-    """Sequences whose lines begin in a split of a FASTQ file that begins at byte `start`."""
-    if start == 0:
-        yield from fastq_reads(lines)
-        return
-    head = list(islice(lines, 256))
-    if head:
-        yield from islice(chain(head, lines), (1 - _place(head)) % 4, None, 4)
+def _size(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
 
 
 def _read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    source = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "start", "value")), strict=True))
-        reads: Iterable = ((path, seq) for (path, start), own in groupby(rows, lambda r: r[:2]) for seq in split_reads((r[2].rstrip("\r") for r in own), start))
-        reads = iter(reads)
-        while some := list(islice(reads, 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.string()) for i in (0, 1)], names=["path", "seq"])
-
-    return spark.read.text(paths).select(*source, "value").mapInArrow(work, "path string, seq string")
+    """Files that Spark may split take two passes, others one."""
+    conf = spark._jsparkSession.sessionState().conf()
+    least = min(int(conf.filesMaxPartitionBytes()), int(conf.filesOpenCostInBytes()))  # no split of a file is smaller
+    may = [p for p in paths if file_kind(p)[1] != "gzip" and _size(spark, p) > least]
+    whole = [p for p in paths if p not in set(may)]
+    parts = [read(spark, own) for read, own in ((fastq.read_whole, whole), (fastq.read_split, may)) if own]
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
 def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -123,10 +76,26 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> D
     kind = kind or file_kind(paths[0])[0]
     if kind == "fastq":
         return _read_fastq(spark, paths)
-    source = F.col("_metadata.file_path").alias("path")
     if kind == "lines":
-        return spark.read.text(paths).select(source, F.rtrim(F.col("value"), F.lit("\r")).alias("seq"))
+        return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.col("value"), F.lit("\r")).alias("seq"))
+    return _fasta_records(spark, paths)
+
+
+def _fasta_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    source = F.col("_metadata.file_path").alias("path")
     records = spark.read.option("lineSep", "\n>").text(paths).select(source, F.col("value"), F.instr("value", "\n").alias("cut"))
     # The rest of the record's first line is its header.
     body = F.when(F.col("cut") > 0, F.substr("value", F.col("cut") + 1)).otherwise("")
     return records.where(F.length("value") > 0).select("path", F.translate(body, "\r\n", "").alias("seq"))
+
+
+def read_for_counting(spark: SparkSession, path: str, k: int, kind: str | None = None) -> DataFrame:
+    """(path, seq): reads, or parts of them; every window of k bases of a read is in exactly one row. Plain FASTA files are
+    read by byte ranges, so a record may be of any length; all else is as in read_sequences()."""
+    paths = expand(spark, path, kind)
+    if (kind or file_kind(paths[0])[0]) != "fasta":
+        return read_sequences(spark, path, kind)
+    sizes = {p: _size(spark, p) for p in paths if file_kind(p)[1] == "none"}
+    packed = [p for p in paths if p not in sizes]
+    parts = ([ranges.read_pieces(spark, sizes, k)] if sizes else []) + ([_fasta_records(spark, packed)] if packed else [])
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
