@@ -51,34 +51,165 @@ def _least_in_windows(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _bin_tables(spark: SparkSession, m: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each m-mer's code, bin of each rank)."""
+    table = rank_table(spark, m, bins).select(bases.packed_code(F.col("mmer")).alias("code"), "rnk", "bin").toPandas()
+    rank_of, bin_of = np.empty(4**m, np.int32), np.empty(4**m, np.int32)
+    rank_of[table["code"]], bin_of[table["rnk"]] = table["rnk"], table["bin"]
+    return rank_of, bin_of
+
+
+def _window_bins(data: np.ndarray, tables: tuple[np.ndarray, np.ndarray], k: int, m: int, canonical: bool) -> np.ndarray:
+    """The bin of every window of k bytes; what it says of windows that are not all bases has no meaning."""
+    rank_of, bin_of = tables
+    forward, reverse = strand_codes(data, {m})[m]
+    return bin_of[_least_in_windows(rank_of[np.minimum(forward, reverse) if canonical else forward], k - m + 1)]
+
+
+def _stretches(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(first window, bases, windows) of maximal stretches of consecutive windows `starts` with one owner."""
+    first = starts[np.append(True, (np.diff(starts) != 1) | (np.diff(owner[starts]) != 0))]
+    n = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
+    sizes = n + k - 1
+    ends = np.cumsum(sizes)
+    upper = np.where(data >= 97, data - 32, data)
+    text = upper[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])]
+    made = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(text))
+    return first, made.cast(pa.string()), n
+
+
 def supermers(reads: DataFrame, k: int, m: int, bins: int, canonical: bool = True, seq: str = "seq", most: int = 1 << 20) -> DataFrame:
     """(bin, seq, n_kmers): maximal stretches of consecutive k-mers of one bin, as in staging. Their number is this
     engine's own; the k-mers they hold are not. A k-mer's bin is that of the m-mer of lowest rank in it."""
-    table = rank_table(reads.sparkSession, m, bins).select(bases.packed_code(F.col("mmer")).alias("code"), "rnk", "bin").toPandas()
-    rank_of, bin_of = np.empty(4**m, np.int32), np.empty(4**m, np.int32)
-    rank_of[table["code"]], bin_of[table["rnk"]] = table["rnk"], table["bin"]
-    shared = reads.sparkSession.sparkContext.broadcast((rank_of, bin_of))
+    shared = reads.sparkSession.sparkContext.broadcast(_bin_tables(reads.sparkSession, m, bins))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of, bin_of = shared.value
         for batch in batches:
             for data, offsets in pieces(*buffers(batch.column(0)), k, most):
-                valid = valid_windows(data, offsets, k)
+                starts = np.flatnonzero(valid_windows(data, offsets, k))
+                if len(starts):
+                    at = _window_bins(data, shared.value, k, m, canonical)
+                    first, made, n = _stretches(data, starts, at, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), made, pa.array(n.astype(np.int64))], names=["bin", "seq", "n_kmers"])
+
+    return dealt(reads.select(seq)).mapInArrow(work, "bin bigint, seq string, n_kmers bigint")
+
+
+#: Parts of a part that is too large; levels beyond the longest minimizer go by the k-mer itself.
+FAN, LONGEST, BY_KMER = 64, 9, 3
+_TAG = 50
+
+
+def part_bin(part: np.ndarray) -> np.ndarray:
+    """The bin that a part belongs to: a part is its level in the upper bits and a path of digits that begins with the bin."""
+    return (part & ((1 << _TAG) - 1)) // FAN ** (part >> _TAG)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+
+
+class Parts:
+    """The rule that files a k-mer under a part: its bin, and where that is too large a digit more for each level, from the
+    least hash of a longer minimizer, then from the hash of the k-mer. `over` lists the parts that are too large."""
+
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray], k: int, m: int, canonical: bool, over: list[int]) -> None:
+        self.tables, self.k, self.m, self.canonical = tables, k, m, canonical
+        self.over = np.array(sorted(over), np.int64)
+        self.by_minimizer = max(0, min(LONGEST, k) - m)
+
+    @property
+    def levels(self) -> int:
+        return self.by_minimizer + BY_KMER
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the windows that are k-mers, part of every window, whether it goes by the k-mer)."""
+        starts = np.flatnonzero(valid_windows(data, offsets, self.k))
+        part = _window_bins(data, self.tables, self.k, self.m, self.canonical).astype(np.int64)
+        alone = np.zeros(len(part), bool)
+        hashes = None
+        for level in range(1, self.levels + 1):
+            if not len(self.over):
+                break
+            own = starts[np.isin(part[starts], self.over[self.over >> _TAG == level - 1])]
+            if not len(own):
+                continue
+            if level <= self.by_minimizer:
+                m = self.m + level
                 forward, reverse = strand_codes(data, {m})[m]
-                at = bin_of[_least_in_windows(rank_of[np.minimum(forward, reverse) if canonical else forward], k - m + 1)]
-                starts = np.flatnonzero(valid)
-                if not len(starts):
+                least = _least_in_windows(_mix(np.minimum(forward, reverse) if self.canonical else forward).astype(np.int64), self.k - m + 1)
+                digit = _mix(least[own]) % np.uint64(FAN)
+            else:
+                if hashes is None:
+                    h = np.zeros(len(starts), np.uint64)
+                    for w in window_words(data, offsets, self.k, self.canonical):
+                        h = _mix(w.view(np.uint64) ^ h)
+                    hashes = np.zeros(len(part), np.uint64)
+                    hashes[starts] = h
+                digit = (hashes[own] >> np.uint64(6 * (level - self.by_minimizer))) % np.uint64(FAN)
+                alone[own] = True
+            path = (part[own] & ((1 << _TAG) - 1)) * FAN + digit.astype(np.int64)
+            part[own] = path | level << _TAG
+        return starts, part, alone
+
+
+def part_sizes(reads: DataFrame, parts: Parts, seq: str = "seq", most: int = 1 << 20) -> DataFrame:
+    """(part, n): the k-mers that each part would get; of those that go by the k-mer, a batch counts each once."""
+    shared = reads.sparkSession.sparkContext.broadcast(parts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value
+        for batch in batches:
+            for data, offsets in pieces(*buffers(batch.column(0)), parts.k, most):
+                if len(data) < parts.k:
                     continue
-                first = starts[np.append(True, (np.diff(starts) != 1) | (np.diff(at[starts]) != 0))]
-                n = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
-                sizes = n + k - 1
-                ends = np.cumsum(sizes)
-                upper = np.where(data >= 97, data - 32, data)
-                text = upper[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])]
-                made = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(text))
-                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), made.cast(pa.string()), pa.array(n.astype(np.int64))], names=["bin", "seq", "n_kmers"])
+                starts, part, alone = parts.of(data, offsets)
+                single = alone[starts]
+                found = [part[starts[~single]]]
+                if single.any():
+                    words = [w[single] for w in window_words(data, offsets, parts.k, False)]
+                    found.append(tallied([part[starts[single]], *words])[0][0])
+                own, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["part", "n"])
 
-    return dealt(reads.select(seq)).mapInArrow(work, "bin bigint, seq string, n_kmers bigint")
+    return dealt(reads.select(seq)).mapInArrow(work, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def part_supermers(reads: DataFrame, parts: Parts, seq: str = "seq", most: int = 1 << 20) -> DataFrame:
+    """(bin, part, seq, n_kmers, copies): super-mers by part; k-mers of parts that go by the k-mer stand alone, once a batch
+    with the number of their copies."""
+    shared = reads.sparkSession.sparkContext.broadcast(parts)
+    names = ["bin", "part", "seq", "n_kmers", "copies"]
+
+    def rows(part: np.ndarray, seq: pa.Array, n: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part_bin(part)), pa.array(part), seq, pa.array(n.astype(np.int64)), pa.array(copies.astype(np.int64))], names=names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value
+        k = parts.k
+        for batch in batches:
+            for data, offsets in pieces(*buffers(batch.column(0)), k, most):
+                if len(data) < k:
+                    continue
+                starts, part, alone = parts.of(data, offsets)
+                together, single = starts[~alone[starts]], starts[alone[starts]]
+                if len(together):
+                    first, made, n = _stretches(data, together, part, k)
+                    yield rows(part[first], made, n, np.ones(len(n)))
+                if len(single):
+                    # Both strands apart, so that plain counting can be had from canonical parts.
+                    key = [part[single], *(w[alone[starts]] for w in window_words(data, offsets, k, False))]
+                    order = np.lexsort(key)
+                    key = [x[order] for x in key]
+                    new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in key]))
+                    places, copies = single[order][new], np.diff(np.append(np.flatnonzero(new), len(order)))
+                    upper = np.where(data >= 97, data - 32, data)
+                    text = upper[(places[:, None] + np.arange(k)).ravel()]
+                    made = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.arange(0, k * (len(places) + 1), k, dtype=np.int64)), pa.py_buffer(text))
+                    yield rows(part[places], made.cast(pa.string()), np.ones(len(places)), copies)
+
+    return dealt(reads.select(seq)).mapInArrow(work, "bin bigint, part bigint, seq string, n_kmers bigint, copies bigint")
 
 
 def count_by_bin(staged: DataFrame, k: int, canonical: bool = True, most: int = 1 << 20) -> DataFrame:
