@@ -55,6 +55,12 @@ def auto_minimizer(bins: int) -> int:
     return max(5, m)
 
 
+def minimizer_length(bins: Column) -> Column:
+    """auto_minimizer() of a column: a number of n binary digits has (n + 1) div 2 base-4 digits."""
+    digits = F.floor((F.length(F.bin(bins)) + 1) / 2).cast("int")
+    return F.greatest(F.least(digits + 2, F.greatest(digits, F.lit(9))), F.lit(5))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows dealt out if the scanned files are smaller than one split for each core: enumeration multiplies rows later.
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from strandfold.functions import bases
 from strandfold.operators import kmers, minimizers
-from strandfold.operators.kmers import KmerConfig, auto_minimizer
+from strandfold.operators.kmers import KmerConfig
 from strandfold.plans import job, staged
 from strandfold.plans.job import scratch
-from strandfold.sources import fastx, packed
+from strandfold.sources import fastx, packed, ranges
 
 FLAGSHIP = KmerConfig()
 M, BINS = 5, 64
@@ -121,12 +121,19 @@ def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.fasta_lines(kmers.count(documents(spark, sf_dir), FLAGSHIP))
 
 
+def _ranks_in_use(spark: SparkSession, sf_dir: str, m: int, bins: int) -> DataFrame:
+    """Every m-mer with its rank and bin, and how often the documents hold it, on either strand."""
+    found = kmers.count_kmers(documents(spark, sf_dir), m)
+    ranks = minimizers.rank_table(spark, m, bins)
+    return ranks.join(found.withColumnRenamed("kmer", "mmer"), "mmer", "left").select("mmer", "allowed", "rnk", "bin", F.coalesce("cnt", F.lit(0)).alias("n"))
+
+
 def minimizer_rank_m5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minimizers.rank_table(spark, 5, BINS)
+    return _ranks_in_use(spark, sf_dir, 5, BINS)
 
 
 def minimizer_rank_m7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minimizers.rank_table(spark, 7, 512)
+    return _ranks_in_use(spark, sf_dir, 7, 512)
 
 
 def _supermers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,11 +181,17 @@ NAMES = ["a.fastq", "b.fq.gz", "c.fasta", "d.fa.bz2", "e.ml", "f.ml.gz", "g.FAST
 
 
 def file_type_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, *fastx.file_kind(n)) for n in NAMES], "name string, type string, codec string")
+    """Types and codecs of a file name for every document."""
+    endings = F.array(*map(F.lit, NAMES))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("in/"), "source", F.lit("."), F.element_at(endings, (F.col("doc_id") % len(NAMES) + 1).cast("int"))).alias("name"))
+    kind, codec = fastx.kind_columns(F.col("name"))
+    return rows.select("doc_id", "name", kind.alias("type"), codec.alias("codec"))
 
 
 def auto_minimizer_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, auto_minimizer(n)) for n in (2, 4, 64, 256, 512, 1024, 4096)], "bins bigint, m bigint")
+    """The minimizer length for as many bins as a document has characters, within the range of bins."""
+    bins = (F.col("n_chars") % 4095 + 2).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", bins.alias("bins"), kmers.minimizer_length(bins).cast("bigint").alias("m"))
 
 
 def multi_source_union_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +275,87 @@ def packed_to_fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat(F.lit(">"), F.regexp_replace("value", "^>|\n$", "")).alias("line"))
 
 
+def _wrapped(column, width: int):
+    return F.regexp_replace(column, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def fastq_multiline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTQ with bases in lines of 70, qualities that begin with `@` and `+` in lines of 90 and a blank line between records;
+    files beyond the least split are parsed in splits that begin anywhere."""
+    # Lines of bases must not begin with `+`.
+    plain = F.regexp_replace("seq", "[^ACGT]", "N")
+    quality = _wrapped(F.regexp_replace(F.regexp_replace(plain, "^.", "@"), "(?<=.)[AC]", "+"), 90)
+    line = F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), _wrapped(plain, 70), F.lit("\n+\n"), quality, F.lit("\n"))
+    return kmers.count(fastx.read_sequences(spark, _written_lines(spark, line, sf_dir, "none"), "fastq"), FLAGSHIP)
+
+
+def fasta_ranges_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA of wrapped bases read by byte ranges far shorter than the files."""
+    line = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), _wrapped(F.col("seq"), 60))
+    path = _written_lines(spark, line, sf_dir, "none")
+    sizes = {p: fastx._size(spark, p) for p in fastx.expand(spark, path, "fasta")}
+    return kmers.count(ranges.read_pieces(spark, sizes, 28, size=1 << 18, block=1 << 16), FLAGSHIP)
+
+
+def path_list_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by a text file, one path a line."""
+    names = fastx.expand(spark, _written_lines(spark, F.col("seq"), sf_dir, "none"), "lines")
+    # A path list is told by its extension, and paths in it by theirs.
+    fs = spark._jvm.org.apache.hadoop.fs
+    moved = []
+    for name in names:
+        at = fs.Path(name)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, fs.Path(f"{name}.ml"))
+        moved.append(f"{name}.ml")
+    listed = scratch(spark, "paths")
+    spark.createDataFrame([(m,) for m in moved], "path string").coalesce(1).write.text(listed)
+    (listing,) = (r["path"] for r in spark.read.format("binaryFile").load(listed).select("path").collect())
+    return kmers.count(fastx.read_sequences(spark, listing), FLAGSHIP)
+
+
+def packed_append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts written to one folder by two jobs, the k-mers of either strand's first half apart; both are read back."""
+    counts, out = kmers.count(documents(spark, sf_dir), FLAGSHIP), scratch(spark, "packed")
+    for half in (F.col("kmer") < "AG", F.col("kmer") >= "AG"):
+        packed.write_packed(counts.where(half), out, 28, file_bytes=1 << 16)
+    return packed.read_packed(spark, out, 28, part_bytes=1 << 14)
+
+
+def count_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job without an output file."""
+    return job.execute(spark, documents(spark, sf_dir), None, FLAGSHIP, "none").kept
+
+
+def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All totals of the job as observed in its one pass over the reads."""
+    done = job.execute(spark, documents(spark, sf_dir), None, FLAGSHIP, "none")
+    t = done.totals
+    done.release()
+    return spark.createDataFrame([(t.reads, t.bases, t.kmers, t.ukmers, t.below_threshold)], "reads bigint, bases bigint, kmers bigint, ukmers bigint, below_threshold bigint")
+
+
+def second_phase_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins staged by one call, counted by another that knows only where they are, with another threshold."""
+    staging = scratch(spark, "staged")
+    job.stage(spark, documents(spark, sf_dir), staging, STAGED)
+    return job.count_bins(spark, staging, None, 10, format="none").kept
+
+
+def refined_bins_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins held to 20,000 k-mers, so that many are refined."""
+    path = scratch(spark, "staged")
+    staged.stage_supermers(documents(spark, sf_dir).select("seq"), STAGED, path, 20_000)
+    return staged.count_staged(spark, path, STAGED)
+
+
+def counts_that_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of reads added to a table of counts, one after the other."""
+    at = scratch(spark, "growing")
+    for reads in (documents(spark, sf_dir), table(spark, sf_dir, "conversations").select(bases.from_text(F.col("text")).alias("seq"))):
+        job.add_reads(spark, reads, at, STAGED)
+    return job.read_counts(spark, at, STAGED)
+
+
 def histogram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram's text file read back, its lines numbered by what they say."""
     path = scratch(spark, "histogram")
@@ -323,8 +417,8 @@ def _sql() -> dict[str, str]:
     out["packed_record_hex"] = counts_sql(10, 3) + f" SELECT kmer, (CASE WHEN cnt < 255 THEN printf('%02X', cnt) ELSE {little} END) || list_aggregate([{byte} FOR q IN range(0, 3)], 'string_agg', '') AS record FROM counts"
     out["packed_roundtrip"] = counts_sql(33, 3) + " SELECT kmer, cnt FROM counts"
     out["fasta_lines"] = counts_sql(28, 3) + " SELECT '>' || cnt || chr(10) || kmer AS line FROM counts"
-    out["minimizer_rank_m5"] = f"WITH {_ranks_sql(5, BINS)} SELECT mmer, allowed, rnk, bin FROM ranks"
-    out["minimizer_rank_m7"] = f"WITH {_ranks_sql(7, 512)} SELECT mmer, allowed, rnk, bin FROM ranks"
+    for name, m, bins in (("minimizer_rank_m5", 5, BINS), ("minimizer_rank_m7", 7, 512)):
+        out[name] = counts_sql(m) + f", {_ranks_sql(m, bins)} SELECT mmer, allowed, rnk, bin, coalesce(cnt, 0) AS n FROM ranks LEFT JOIN counts ON kmer = mmer"
     out["kmers_per_bin"] = _bins_sql() + " SELECT bin, kmers FROM stats"
     canon = "least(substr(run, i::INT, 28), translate(reverse(substr(run, i::INT, 28)), 'ACGT', 'TGCA'))"
     out["distinct_kmers_per_bin"] = _bins_sql() + f" SELECT bin, count(*) AS kmers, count(DISTINCT {canon}) AS ukmers FROM kb GROUP BY bin"
@@ -338,11 +432,17 @@ def _sql() -> dict[str, str]:
     for name in ("staged_equals_direct", "fastx_roundtrip", "fasta_bzip2_roundtrip", "fastq_roundtrip", "fastq_gzip_roundtrip", "lines_gzip_roundtrip", "packed_file_roundtrip"):
         out[name] = counts_sql(28, 3) + " SELECT kmer, cnt FROM counts"
     out["packed_to_fasta_lines"], out["histogram_file"] = out["fasta_lines"], out["histogram_csv_lines"]
-    values = ", ".join(f"('{n}')" for n in NAMES)
-    out["file_type_detection"] = f"""WITH v(name) AS (VALUES {values}),
-c AS (SELECT name, CASE WHEN name LIKE '%.gz' THEN 'gzip' WHEN name LIKE '%.bz2' THEN 'bzip2' ELSE 'none' END AS codec, regexp_extract(regexp_replace(name, '\\.(gz|bz2)$', ''), '\\.([^.]*)$', 1) AS ext FROM v)
-SELECT name, CASE WHEN ext IN ('fastq', 'fq') THEN 'fastq' WHEN ext IN ('fasta', 'fa') THEN 'fasta' WHEN ext = 'ml' THEN 'lines' ELSE 'unknown' END AS type, codec FROM c"""
-    out["auto_minimizer_length"] = "WITH v(bins) AS (VALUES (2), (4), (64), (256), (512), (1024), (4096)), s AS (SELECT bins, (ceil((floor(log2(bins)) + 1) / 2))::BIGINT AS m FROM v) SELECT bins::BIGINT AS bins, greatest(5, CASE WHEN m >= 9 THEN m ELSE least(m + 2, 9) END)::BIGINT AS m FROM s"
+    names = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+    out["file_type_detection"] = f"""WITH v AS (SELECT doc_id, 'in/' || source || '.' || {names}[(doc_id % {len(NAMES)} + 1)::INT] AS name FROM documents),
+c AS (SELECT doc_id, name, CASE WHEN name LIKE '%.gz' THEN 'gzip' WHEN name LIKE '%.bz2' THEN 'bzip2' ELSE 'none' END AS codec, regexp_extract(regexp_replace(name, '\\.(gz|bz2)$', ''), '\\.([^./]*)$', 1) AS ext FROM v)
+SELECT doc_id, name, CASE WHEN ext IN ('fastq', 'fq') THEN 'fastq' WHEN ext IN ('fasta', 'fa') THEN 'fasta' WHEN ext = 'ml' THEN 'lines' ELSE 'unknown' END AS type, codec FROM c"""
+    out["auto_minimizer_length"] = "WITH v AS (SELECT doc_id, (n_chars % 4095 + 2)::BIGINT AS bins FROM documents), s AS (SELECT doc_id, bins, (ceil((floor(log2(bins)) + 1) / 2))::BIGINT AS m FROM v) SELECT doc_id, bins, greatest(5, CASE WHEN m >= 9 THEN m ELSE least(m + 2, 9) END)::BIGINT AS m FROM s"
+    for name in ("fastq_multiline_roundtrip", "fasta_ranges_roundtrip", "path_list_count", "packed_append_twice", "count_only", "refined_bins_count"):
+        out[name] = counts_sql(28, 3) + " SELECT kmer, cnt FROM counts"
+    out["second_phase_alone"] = counts_sql(28, 10) + " SELECT kmer, cnt FROM counts"
+    out["job_totals"] = counts_sql(28) + ", b AS (SELECT (SELECT count(*) FROM reads) AS reads, (SELECT coalesce(sum(length(run)), 0) FROM runs)::BIGINT AS bases) SELECT reads, bases, coalesce(sum(cnt), 0)::BIGINT AS kmers, count(cnt) AS ukmers, count(*) FILTER (WHERE cnt < 3) AS below_threshold FROM b LEFT JOIN counts ON true GROUP BY reads, bases"
+    both = f"reads AS (SELECT 0 AS id, {ADAPT.format('text')} AS seq FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations))"
+    out["counts_that_grow"] = counts_sql(28, 3, reads=both) + " SELECT kmer, cnt FROM counts"
     union = f"reads AS (SELECT 0 AS id, {ADAPT.format('text')} AS seq FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM conversations))"
     out["multi_source_union_count"] = counts_sql(28, 3, reads=union) + " SELECT kmer, cnt FROM counts"
     events = "reads AS (SELECT user_id AS id, string_agg(CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'N' END, '' ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id)"
@@ -359,6 +459,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packed_record_hex, packed_roundtrip, fasta_lines, minimizer_rank_m5, minimizer_rank_m7, kmers_per_bin, distinct_kmers_per_bin, bin_order, bin_size_stats, supermers_by_bin, staged_equals_direct,
         file_type_detection, auto_minimizer_length, multi_source_union_count, event_sequence_kmers, lineitem_sequence_kmers, fastx_roundtrip, fasta_bzip2_roundtrip, fastq_roundtrip, fastq_gzip_roundtrip,
         lines_gzip_roundtrip, packed_file_roundtrip, packed_to_fasta_lines, histogram_file, bin_stats_file, empty_bins_stats,
+        fastq_multiline_roundtrip, fasta_ranges_roundtrip, path_list_count, packed_append_twice, count_only, job_totals, second_phase_alone, refined_bins_count, counts_that_grow,
     )
     return _kmer_queries()[0] | {f.__name__: f for f in own}
 

@@ -6,7 +6,7 @@ that begin anywhere. read_sequences() gives a read as one row; ranges.py gives l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandfold.sources import fastq, ranges
@@ -25,6 +25,15 @@ def file_kind(path: str) -> tuple[str, str]:
     return TYPES.get(last, "unknown"), codec
 
 
+def kind_columns(name: Column) -> tuple[Column, Column]:
+    """(type, codec) of a column of paths, as file_kind()."""
+    last = F.element_at(F.split(name, "/"), -1)
+    codec = F.coalesce(*(F.when(last.endswith("." + x), c) for x, c in CODECS.items()), F.lit("none"))
+    inner = F.when(codec == "none", last).otherwise(F.regexp_replace(last, r"\.[^.]*$", ""))
+    dot = F.regexp_extract(inner, r"\.([^.]*)$", 1)
+    return F.coalesce(*(F.when(dot == x, t) for x, t in TYPES.items()), F.lit("unknown")), codec
+
+
 def expand(spark: SparkSession, path: str, kind: str | None = None) -> list[str]:
     """A file is itself; a directory its files, not recursive and without Spark's own marks; a .txt file lists one path a
     line. Paths are of any file system that Spark knows. kind: the type of files whose names do not tell it."""
