@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings: every byte covered by a `size`-byte string that also starts anywhere else.
+"""Removal of repeated byte strings: every byte covered by a `size`-byte string that also starts anywhere else.
 
 Equal windows must meet in one shard, and no shard may see the whole corpus. A window of `size` bytes is filed under its
 minimizer, the gram of GRAM bytes with the smallest hash in it; consecutive windows with one minimizer form a run of at
@@ -6,7 +6,7 @@ most size - GRAM + 1 windows. Runs whose gram stands nowhere else are done. Equa
 the sort once. The bytes of one run of each content go to their gram's shard, where external induced sorting of all
 suffixes, with the prefixes that neighbours share, finds the repeated windows (induced.py).
 
-What moves between tasks is three hashes a run, about size / 3 bytes apart, and the bytes of runs whose gram has several
+What moves between tasks is two hashes and a digest a run, about size / 3 bytes apart, and the bytes of runs whose gram has several
 contents. Runs that repeat within a task are settled there and go on once. A gram with many contents is split further, by
 classes of `step` neighbouring window places and the bytes that all windows of a class share.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,28 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, back
 
 
+#: Places of a text in 32 bits: grams are ordered by the other half of their hash, in texts of any length alike.
+PLACES = np.uint64(32)
+
+
+def digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b of each stretch of bytes, 128 bits: as keys they stand for the bytes, also of texts made to collide."""
+    bytes_ = memoryview(np.ascontiguousarray(data)).cast("B")
+    made = b"".join([blake2b(bytes_[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, "S16")
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, gram's place, gram hash, content hash) of the runs of windows with one minimizer."""
+    """(text, first window, last window, gram's place, gram hash, digest of all bytes) of the runs of windows with one minimizer."""
     n, w = len(data), size - GRAM + 1
     ends = np.repeat(offsets[1:], np.diff(offsets))
     valid = ends - np.arange(n) >= size
     if n < size or not valid.any():
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros(0, "S16"))
     sums, back = _sums(data)
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
     # Order by the hash's upper bits, then by place: the leftmost smallest gram of each window in one number.
-    low = np.uint64(n.bit_length())
-    keyed = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
+    keyed = (grams >> PLACES << PLACES) | np.arange(len(grams), dtype=np.uint64)
     padded = np.full(-(-len(keyed) // w) * w + w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(keyed)] = keyed
     blocks = padded.reshape(-1, w)
@@ -55,20 +66,19 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = len(keyed) - w + 1
     least = np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows])
-    at = (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    at = (least & ((np.uint64(1) << PLACES) - np.uint64(1))).astype(np.int64)
     p = np.flatnonzero(valid[:windows])
     new = np.append(True, (np.diff(at[p]) != 0) | (np.diff(p) != 1))
     first = p[new]
     last = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
-    content = _mixed((sums[last + size] - sums[first]) * back[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, at[first], grams[at[first]], content
+    return np.searchsorted(offsets, first, "right") - 1, first, last, at[first], grams[at[first]], digests(data, first, last + size)
 
 
 class _Seen:
     """Contents that a task has met more than once; bounded, for it only saves work."""
 
     def __init__(self, most: int = 1 << 18) -> None:
-        self.known, self.most = np.zeros(0, np.uint64), most
+        self.known, self.most = np.zeros(0, "S16"), most
 
     def settled(self, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(goes on, repeated here) of each content: the first of its kind goes on, unless one went on before."""
@@ -82,7 +92,12 @@ class _Seen:
         return on, again[which]
 
 
-_RUN = "h bigint, h2 int, first int, last int, at int, gram bigint, content bigint, sent boolean, repeated boolean"
+_RUN = "h bigint, h2 int, first int, last int, at int, gram bigint, content binary, sent boolean, repeated boolean"
+
+
+def _fixed(content: np.ndarray) -> pa.Array:
+    ends = np.arange(0, 16 * (len(content) + 1), 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(content), [None, pa.py_buffer(ends), pa.py_buffer(content.tobytes())])
 
 
 def _find_runs(texts: DataFrame, size: int) -> DataFrame:
@@ -97,9 +112,9 @@ def _find_runs(texts: DataFrame, size: int) -> DataFrame:
                 text, first, last, at, gram, content = runs_of(data, offsets, size)
                 start = offsets[text]
                 places = [pa.array((x - start).astype(np.int32)) for x in (first, last, at)]
-                sent, repeated = seen.settled(content ^ _mixed(gram))
+                sent, repeated = seen.settled(content)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[i + text]), pa.array(h2[i + text]), *places, pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(sent), pa.array(repeated)],
+                    [pa.array(h[i + text]), pa.array(h2[i + text]), *places, pa.array(gram.view(np.int64)), _fixed(content), pa.array(sent), pa.array(repeated)],
                     names=["h", "h2", "first", "last", "at", "gram", "content", "sent", "repeated"],
                 )
 
@@ -141,7 +156,7 @@ class _Shard:
         inside = p - begin[own] <= sizes[own] - size
         p, own = p[inside], own[inside]
         new = np.flatnonzero((np.diff(p, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
-        last = np.append(new[1:], len(p)) - 1
+        last = np.append(new[1:], len(p))[: len(new)] - 1
         own = own[new]
         start = first[own] + p[new] - begin[own]
         return pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(h2[own]), pa.array(start), pa.array(start + p[last] - p[new] + size)], names=["h", "h2", "start", "end"])

@@ -8,10 +8,11 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from strandfold.llm import align, bestfit, entries, search
+from strandfold.llm import align, bestfit, entries, repeats, search
 
 DOCS = "doc_id long, text string, term string, n long, length long, uid long"
 
@@ -234,3 +235,36 @@ def test_op13(spark, sf):
     for r in got:
         *sizes, groups = want[r["doc_id"]]
         assert list(r[1:7]) == sizes and r["groups_sha256"] == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+
+
+# Repeats.
+
+# Two texts of 200 letters that differ in 63 of them, chosen so that the polynomial hashes of the whole and of
+# their minimizer, which both hold, are equal.
+COLLIDING = (
+    "cxbdgjmowrrxvqcbxfbjhrurwtrrbrdgeswcwzvaxzxsmdshmccxceytvurfssbzjncambwpijcdstnsatzyjmkwqzbtuujofctupmzvijxbonghhmikyuhcdxkjswiycyvapqukwjtzizjuhqxuelqdhshhmhnkpvybsygavpqhdmecyzbcjafvzltyxrcrswrqvath",
+    "cxcdgumqwebxaqcwxfbjhaurwhrryodreksuhlahxfxsmdshztwxzwgeyuzfsxbzjntzmbwpijcdstnsatzyjmkwqzbtuujofctupmzvijxbonghhmikyuhcdxkjswiycyvauqykwjtaizxchqxualedhchhxhnkeqfbayiejphpdmeuytbcjpfvaltzpmcaszrankah",
+)
+
+
+def test_texts_of_equal_hashes_are_kept_whole(spark):
+    data = [np.frombuffer(t.encode(), np.uint8) for t in COLLIDING]
+    sums = [repeats._sums(x)[0][200] for x in data]
+    runs = [repeats.runs_of(x, np.array([0, 200]), 200) for x in data]
+    assert sums[0] == sums[1] and runs[0][4] == runs[1][4] and runs[0][5] != runs[1][5]
+    for texts in (COLLIDING, [f"{i}{t}" for i, t in enumerate(COLLIDING)]):
+        out = repeats.remove_repeats(docs_of(spark, texts)).collect()
+        assert sorted(bytes(r["kept"]).decode() for r in out) == sorted(texts) and all(not r["removed"] for r in out)
+    out = repeats.remove_repeats(docs_of(spark, [*COLLIDING, COLLIDING[0]])).collect()
+    assert Counter(bytes(r["kept"]).decode() for r in out) == Counter(["", "", COLLIDING[1]])
+
+
+def test_ties_of_grams_do_not_depend_on_the_length_of_a_text():
+    rng = random.Random(3)
+    window = "".join(rng.choices("ab", k=200)).encode()
+    alone = repeats.runs_of(np.frombuffer(window, np.uint8), np.array([0, 200]), 200)
+    for before in (0, 5, 70_000, 3_000_000):
+        text = bytes(rng.choices(b"abc ", k=before)) + window + b"zz"
+        text_, first, last, at, gram, _ = repeats.runs_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
+        own = np.flatnonzero((first <= before) & (before <= last))[0]
+        assert at[own] - before == alone[3][0] and gram[own] == alone[4][0]
