@@ -102,10 +102,45 @@ def enumerate_kmers(runs: DataFrame, k: int, canonical: bool = True, most: int =
     return one.select(*kept, (F.col("at") + F.col("i")).alias("pos"), kmer.alias("kmer"))
 
 
+def _windows_of(codes: Column, k: int, reverse: bool) -> Column:
+    """array<bigint>: the codes of all windows of k (at most 31) of an array of base codes, from windows that double in
+    length: log2 k steps, and one for each further binary digit of k. reverse: of the reverse complements."""
+
+    def joined(a: Column, b: Column, width_a: int, width_b: int) -> Column:
+        """Windows of width_a each followed by those of width_b that start where they end."""
+        n = F.greatest(F.size(b) - width_a, F.lit(0))
+        left, right = F.slice(a, F.lit(1), n), F.slice(b, F.lit(width_a + 1), n)
+        if reverse:
+            return F.zip_with(left, right, lambda x, y: x + F.shiftleft(y, 2 * width_a))
+        return F.zip_with(left, right, lambda x, y: F.shiftleft(x, 2 * width_b) + y)
+
+    def step(unit: Column, out: Column | None, width: int, done: int) -> Column:
+        if k & width:
+            out, done = (unit, width) if out is None else (joined(out, unit, done, width), done + width)
+        if 2 * width > k:
+            return out
+        # Each step's arrays are bound to names of a lambda, else every use would compute them again.
+        both = F.array(joined(unit, unit, width, width), *([out] if out is not None else []))
+        return F.element_at(F.transform(F.array(both), lambda v: step(v[0], v[1] if out is not None else None, 2 * width, done)), 1)
+
+    return step(codes, None, 1, 0)
+
+
 def count_kmers(reads: DataFrame, k: int, canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(kmer, cnt) of all distinct k-mers."""
-    kmers = enumerate_kmers(split_runs(cut_reads(dealt(reads.select(seq)), k, seq=seq), k, seq), k, canonical)
-    return kmers.groupBy("kmer").agg(F.count("*").alias("cnt"))
+    """(kmer, cnt) of all distinct k-mers, in SQL functions only. To k = 31 windows are numbers made from arrays of base
+    codes, and only distinct ones are spelled; beyond, they are substrings."""
+    runs = split_runs(cut_reads(dealt(reads.select(seq)), k, seq=seq), k, seq)
+    if k > WORD:
+        return enumerate_kmers(runs, k, canonical).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    codes = runs.select(F.transform(F.split(F.translate("run", bases.BASES, "0123"), ""), lambda c: c.cast("bigint")).alias("codes"))
+    forward = _windows_of(F.col("codes"), k, False)
+    if canonical:
+        flipped = F.transform("codes", lambda c: 3 - c)
+        windows = F.zip_with(forward, _windows_of(flipped, k, True), lambda x, y: F.least(x, y))
+    else:
+        windows = forward
+    counts = codes.select(F.explode(windows).alias("code")).groupBy("code").agg(F.count("*").alias("cnt"))
+    return counts.select(bases.from_code(F.col("code"), k).alias("kmer"), "cnt")
 
 
 def at_least(counts: DataFrame, min_count: int) -> DataFrame:

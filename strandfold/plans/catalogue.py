@@ -12,7 +12,7 @@ from strandfold.operators import kmers, minimizers
 from strandfold.operators.kmers import KmerConfig
 from strandfold.plans import job, staged
 from strandfold.plans.job import scratch
-from strandfold.sources import fastx, packed, ranges
+from strandfold.sources import blocks, fastx, packed, ranges
 
 FLAGSHIP = KmerConfig()
 M, BINS = 5, 64
@@ -297,22 +297,35 @@ def fasta_ranges_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.count(ranges.read_pieces(spark, sizes, 28, size=1 << 18, block=1 << 16), FLAGSHIP)
 
 
+def _renamed(spark: SparkSession, names: list[str], ending: str) -> list[str]:
+    fs = spark._jvm.org.apache.hadoop.fs
+    for name in names:
+        at = fs.Path(name)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, fs.Path(name + ending))
+    return [name + ending for name in names]
+
+
 def path_list_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files named by a text file, one path a line."""
     names = fastx.expand(spark, _written_lines(spark, F.col("seq"), sf_dir, "none"), "lines")
     # A path list is told by its extension, and paths in it by theirs.
-    fs = spark._jvm.org.apache.hadoop.fs
-    moved = []
-    for name in names:
-        at = fs.Path(name)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, fs.Path(f"{name}.ml"))
-        moved.append(f"{name}.ml")
+    moved = _renamed(spark, names, ".ml")
     listed = scratch(spark, "paths")
     spark.createDataFrame([(m,) for m in moved], "path string").coalesce(1).write.text(listed)
     (listing,) = (r["path"] for r in spark.read.format("binaryFile").load(listed).select("path").collect())
     return kmers.count(fastx.read_sequences(spark, listing), FLAGSHIP)
 
 
+def gzip_blocks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-per-read files as gzip of many members, read back by byte ranges of the compressed files."""
+    path = scratch(spark, "blocks")
+    spark.dataSource.register(packed.PackedSink)
+    blocks.members_of_lines(_lines(spark, sf_dir).select("seq")).write.format("packed").mode("append").save(path)
+    files = [p for p in fastx.expand(spark, path, "lines") if p.endswith(".bin")]
+    sizes = {p: fastx._size(spark, p) for p in _renamed(spark, files, ".ml.gz")}
+    return kmers.count(blocks.read_blocked(spark, sizes, "lines", size=1 << 18).select("seq"), FLAGSHIP)
+
+
 def packed_append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts written to one folder by two jobs, the k-mers of either strand's first half apart; both are read back."""
     counts, out = kmers.count(documents(spark, sf_dir), FLAGSHIP), scratch(spark, "packed")
@@ -437,7 +450,7 @@ def _sql() -> dict[str, str]:
 c AS (SELECT doc_id, name, CASE WHEN name LIKE '%.gz' THEN 'gzip' WHEN name LIKE '%.bz2' THEN 'bzip2' ELSE 'none' END AS codec, regexp_extract(regexp_replace(name, '\\.(gz|bz2)$', ''), '\\.([^./]*)$', 1) AS ext FROM v)
 SELECT doc_id, name, CASE WHEN ext IN ('fastq', 'fq') THEN 'fastq' WHEN ext IN ('fasta', 'fa') THEN 'fasta' WHEN ext = 'ml' THEN 'lines' ELSE 'unknown' END AS type, codec FROM c"""
     out["auto_minimizer_length"] = "WITH v AS (SELECT doc_id, (n_chars % 4095 + 2)::BIGINT AS bins FROM documents), s AS (SELECT doc_id, bins, (ceil((floor(log2(bins)) + 1) / 2))::BIGINT AS m FROM v) SELECT doc_id, bins, greatest(5, CASE WHEN m >= 9 THEN m ELSE least(m + 2, 9) END)::BIGINT AS m FROM s"
-    for name in ("fastq_multiline_roundtrip", "fasta_ranges_roundtrip", "path_list_count", "packed_append_twice", "count_only", "refined_bins_count"):
+    for name in ("fastq_multiline_roundtrip", "fasta_ranges_roundtrip", "path_list_count", "gzip_blocks_roundtrip", "packed_append_twice", "count_only", "refined_bins_count"):
         out[name] = counts_sql(28, 3) + " SELECT kmer, cnt FROM counts"
     out["second_phase_alone"] = counts_sql(28, 10) + " SELECT kmer, cnt FROM counts"
     out["job_totals"] = counts_sql(28) + ", b AS (SELECT (SELECT count(*) FROM reads) AS reads, (SELECT coalesce(sum(length(run)), 0) FROM runs)::BIGINT AS bases) SELECT reads, bases, coalesce(sum(cnt), 0)::BIGINT AS kmers, count(cnt) AS ukmers, count(*) FILTER (WHERE cnt < 3) AS below_threshold FROM b LEFT JOIN counts ON true GROUP BY reads, bases"
@@ -459,7 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packed_record_hex, packed_roundtrip, fasta_lines, minimizer_rank_m5, minimizer_rank_m7, kmers_per_bin, distinct_kmers_per_bin, bin_order, bin_size_stats, supermers_by_bin, staged_equals_direct,
         file_type_detection, auto_minimizer_length, multi_source_union_count, event_sequence_kmers, lineitem_sequence_kmers, fastx_roundtrip, fasta_bzip2_roundtrip, fastq_roundtrip, fastq_gzip_roundtrip,
         lines_gzip_roundtrip, packed_file_roundtrip, packed_to_fasta_lines, histogram_file, bin_stats_file, empty_bins_stats,
-        fastq_multiline_roundtrip, fasta_ranges_roundtrip, path_list_count, packed_append_twice, count_only, job_totals, second_phase_alone, refined_bins_count, counts_that_grow,
+        fastq_multiline_roundtrip, fasta_ranges_roundtrip, path_list_count, gzip_blocks_roundtrip, packed_append_twice, count_only, job_totals, second_phase_alone, refined_bins_count, counts_that_grow,
     )
     return _kmer_queries()[0] | {f.__name__: f for f in own}
 

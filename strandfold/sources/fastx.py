@@ -1,7 +1,8 @@
 """Reads from FASTA, FASTQ and line-per-read files, plain, gzip or bzip2, from any storage that Spark reads.
 
 All go through Spark's text reader, which decompresses, and splits plain and bzip2 files; fastq.py finds records in splits
-that begin anywhere. read_sequences() gives a read as one row; ranges.py gives long plain FASTA records in parts.
+that begin anywhere, blocks.py reads block-structured gzip in parallel. read_sequences() gives a read as one row; ranges.py
+gives long plain FASTA records in parts.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandfold.sources import fastq, ranges
+from strandfold.sources import blocks, fastq, ranges
 
 # Extensions of types and codecs, case-sensitive.
 TYPES = {"fastq": "fastq", "fq": "fastq", "fasta": "fasta", "fa": "fasta", "ml": "lines"}
@@ -75,7 +76,7 @@ def _read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
     least = min(int(conf.filesMaxPartitionBytes()), int(conf.filesOpenCostInBytes()))  # no split of a file is smaller
     may = [p for p in paths if file_kind(p)[1] != "gzip" and _size(spark, p) > least]
     whole = [p for p in paths if p not in set(may)]
-    parts = [read(spark, own) for read, own in ((fastq.read_whole, whole), (fastq.read_split, may)) if own]
+    parts = ([fastq.read_whole(spark, whole)] if whole else []) + ([fastq.read_split(fastq.split_lines(spark, may))] if may else [])
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
@@ -83,6 +84,24 @@ def read_sequences(spark: SparkSession, path: str, kind: str | None = None) -> D
     """(path, seq): one row a read, headers and qualities dropped. kind (fasta, fastq, lines) overrides what names tell."""
     paths = expand(spark, path, kind)
     kind = kind or file_kind(paths[0])[0]
+    blocked = _blocked(spark, paths)
+    if blocked:
+        rest = [p for p in paths if p not in blocked]
+        found = blocks.read_blocked(spark, blocked, kind)
+        return found.union(_read(spark, rest, kind)) if rest else found
+    return _read(spark, paths, kind)
+
+
+def _blocked(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """The gzip files that tell their members' sizes, with their own; only of file systems that tasks can open themselves."""
+    out = {}
+    for p in paths:
+        if file_kind(p)[1] == "gzip" and ranges.can_open(p) and blocks.is_blocked(p):
+            out[p] = _size(spark, p)
+    return out
+
+
+def _read(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     if kind == "fastq":
         return _read_fastq(spark, paths)
     if kind == "lines":

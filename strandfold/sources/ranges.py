@@ -36,6 +36,15 @@ def located(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (_store(""), path)
 
 
+def can_open(path: str) -> bool:
+    """Whether pyarrow knows the path's file system; others are Spark's alone."""
+    try:
+        located(path)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
 def opened(path: str) -> pa.NativeFile:
     store, at = located(path)
     return store.open_input_file(at)

@@ -1,6 +1,8 @@
 """Sources and sinks whose files are cut anywhere: every cut of small texts by hand, then through Spark."""
 
 import random
+import gzip
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from strandfold.functions import bases
 from strandfold.operators import kmers
 from strandfold.operators.kmers import KmerConfig
-from strandfold.sources import fastq, fastx, packed, ranges
+from strandfold.sources import blocks, fastq, fastx, packed, ranges
 
 
 def fastq_text(rng, records):
@@ -85,7 +87,7 @@ def test_fastq_of_mixed_shapes_in_splits(spark, tmp_path, small_splits):
     (tmp_path / "b.fq").write_text("@x\nACGT\n+\nIIII\n")  # read whole
     got = fastx.read_sequences(spark, str(tmp_path))
     assert Counter(r["seq"] for r in got.collect()) == Counter([*reads, "ACGT"])
-    assert fastq._lines(spark, [f"{tmp_path}/a.fq"]).select("start").distinct().count() > 10
+    assert fastq.split_lines(spark, [f"{tmp_path}/a.fq"]).select("start").distinct().count() > 10
 
 
 def windows(seqs, k):
@@ -213,3 +215,50 @@ def test_attempts_that_failed_are_not_taken(tmp_path):
 def test_largest_count(spark):
     df = spark.createDataFrame([("ACGT", 2**32 + 5), ("ACGT", 2**32 - 1)], "kmer string, cnt bigint")
     assert {r[0] for r in df.select(bases.record_hex(df["cnt"], df["kmer"], 4)).collect()} == {"FFFFFFFFFF1B"}
+
+
+def blocked(data, sizes):
+    """Gzip of many members that tell their sizes, and the empty one at the end."""
+    out, at = b"", 0
+    for n in [*sizes, 0]:
+        out += blocks.member(data[at : at + n])
+        at += n
+    assert at >= len(data)
+    return out
+
+
+def test_members_cut_at_every_byte():
+    rng = random.Random(4)
+    for text in ("", "one\n", "one\ntwo\r\n\nthree", "\n\n", "x" * 50 + "\ny", fastq_text(rng, 5)):
+        sizes = []
+        while sum(sizes) < len(text):
+            sizes.append(rng.randint(1, 12))
+        data = blocked(text.encode(), sizes)
+        want = [x.rstrip("\r") for x in (text[:-1] if text.endswith("\n") else text).split("\n")] if text else []
+        file = pa.BufferReader(data)
+        for cut in range(1, len(data)):
+            got = [*blocks.lines_of(file, 0, cut), *blocks.lines_of(file, cut, len(data))]
+            assert got == want, (text, cut)
+        for step in (1, 7, 40):
+            assert [x for s in range(0, len(data), step) for x in blocks.lines_of(file, s, min(s + step, len(data)))] == want
+        assert gzip.decompress(data).decode() == text
+    assert blocks.member_size(zlib.compress(b"x")) is None and blocks.member_size(b"") is None
+
+
+def test_block_structured_gzip_equals_its_plain_form(spark, tmp_path):
+    rng = random.Random(6)
+    reads = ["".join(rng.choices("ACGT", k=rng.randint(1, 300))) for _ in range(1500)]
+    half = lambda s: f"{s[: len(s) // 2]}\n{s[len(s) // 2 :]}"
+    texts = {"a.fa": "".join(f">r\n{half(s)}\n" for s in reads), "b.fq": "".join(f"@r\n{half(s)}\n+\n{'@' * len(s)}\n" for s in reads), "c.ml": "\n".join(reads)}
+    for name, text in texts.items():
+        sizes = []
+        while sum(sizes) < len(text):
+            sizes.append(rng.randint(1, 4000))
+        at = tmp_path / f"{name}.gz"
+        at.write_bytes(blocked(text.encode(), sizes))
+        got = fastx.read_sequences(spark, str(at))
+        assert Counter(r["seq"] for r in got.collect()) == Counter(reads), name
+        small = blocks.read_blocked(spark, {str(at): at.stat().st_size}, fastx.file_kind(str(at))[0], size=20_000)
+        assert Counter(r["seq"] for r in small.collect()) == Counter(reads), name
+        lines = blocks.read_lines(spark, {str(at): at.stat().st_size}, 20_000)
+        assert lines.select("start").distinct().count() > 4
