@@ -1,6 +1,7 @@
 """Plain Python versions of the contracts, written apart from the operators."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -107,3 +108,40 @@ def repeats(texts, size):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def disclosing(texts, generalise_at=0.98, remove_at=1.0, generalise_to=0.5, support=0.6):
+    """{term: (kind, label)} of the different texts, by the definitions of the operator."""
+    texts = sorted(set(texts))
+    words = [set(re.findall(r"[^\W_]{3,}", t.lower())) for t in texts]
+    near = []
+    for t in texts:
+        own = set()
+        for kind, a, b in pii(t):
+            before, after = t[max(0, a - 161) : a], t[b : b + 161]
+            before = re.sub(r"^\S+", "", before) if a > 160 else before
+            after = re.sub(r"\S+$", "", after) if len(after) > 160 else after
+            found = re.findall(r"[^\W_]{3,}", before.lower())[-8:] + re.findall(r"[^\W_]{3,}", after.lower())[:8]
+            value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b])
+            own |= {(f"{kind}:{value}", None), *((f"{kind}:{value}", w) for w in found)}
+        near.append(own)
+    n = len(texts)
+    pairs = {p for own in near for p in own if p[1]}
+    out, least = {}, {}
+    for c, t in pairs:
+        n_c, n_ct, n_t = sum((c, None) in own for own in near), sum((c, t) in own for own in near), sum(t in w for w in words)
+        information = math.log(n / n_c)
+        strength = math.log(min(n_ct, n_t) * n / (n_c * n_t)) / information if information > 0 else 0
+        if strength >= generalise_at - 1e-9:
+            gone = strength >= remove_at - 1e-9 and (min(n_ct, n_t) + n_c / n) / (n_t + 1) >= support
+            out[t] = gone or out.get(t, False)
+            least[t] = max(least.get(t, 0), n * (n_c / n) ** generalise_to)
+    standing = [{t for _, t in own if t} for own in near]
+
+    def label(t):
+        for k in range(min(12, len(t) - 1), 0, -1):
+            if sum(any(w.startswith(t[:k]) and len(w) > k for w in own) for own in standing) >= least[t] * (1 - 1e-9):
+                return f"[{t[:k]}*]"
+        return "[TERM]"
+
+    return {t: ("remove", "") if gone else ("generalise", label(t)) for t, gone in out.items()}

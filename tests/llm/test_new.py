@@ -8,11 +8,12 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from strandfold.llm import align, bestfit, entries, repeats, search
+from strandfold.llm import align, bestfit, entries, pii, repeats, search
 
 DOCS = "doc_id long, text string, term string, n long, length long, uid long"
 
@@ -268,3 +269,27 @@ def test_ties_of_grams_do_not_depend_on_the_length_of_a_text():
         text_, first, last, at, gram, _ = repeats.runs_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
         own = np.flatnonzero((first <= before) & (before <= last))[0]
         assert at[own] - before == alone[3][0] and gram[own] == alone[4][0]
+
+
+def test_added_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ru", "te"]) for _ in range(rng.randint(2, 3)))
+    texts = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(60)]
+    for i in range(60):
+        who = f"who{i % 45}@mail.example.com"
+        said = f"{word()} Oddname{i % 45} {word()} {who} lonely{i} {word()}, kalolo{i}x "
+        texts.append(" ".join(word() for _ in range(20)) + " " + said + " ".join(word() for _ in range(rng.randint(0, 30))))
+    texts += [texts[70], texts[71], "", "Oddname3 elsewhere", texts[64].replace("@mail", "@other")]
+    want = brute.disclosing(texts)
+    assert {k for k, _ in want.values()} == {"generalise", "remove"} and any(len(x) > 3 and x != "[TERM]" for _, x in want.values())
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None)]
+    for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        text = r["text"] or ""
+        base = brute.pii(text)
+        assert [tuple(s) for s in r["pii"] if s["kind"] in pii.BASE] == base
+        extra = [(want[m[0].lower()], m.start(), m.end()) for m in re.finditer(r"[^\W_]{3,}", text) if m[0].lower() in want and not any(m.start() < b and a < m.end() for _, a, b in base)]
+        assert sorted(tuple(s) for s in r["pii"] if s["kind"] in pii.ADDED) == sorted((k, a, b) for (k, _), a, b in extra)
+        clean = text
+        for label, a, b in sorted([(label, a, b) for (_, label), a, b in extra] + [(f"[{k.upper()}]", a, b) for k, a, b in base], key=lambda x: -x[1]):
+            clean = clean[:a] + label + clean[b:]
+        assert (r["sanitised"] or "") == clean

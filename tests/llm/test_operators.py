@@ -462,7 +462,7 @@ def test_pii_rates_pairs_of_few_documents(spark):
     rows = [once, once, once, *twice] + [f"{prose(40)} ask now or at corp example" for _ in range(200)]
     for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect():
         found = {rows[r["doc_id"]][s["start"] : s["end"]].lower(): s["kind"] for s in r["pii"] if s["kind"] in pii.ADDED}
-        assert found == ({"quillfeather": "remove"} if r["doc_id"] < 3 else {"brackenbury": "remove"} if r["doc_id"] < 5 else {})
+        assert found == ({"quillfeather": "generalise"} if r["doc_id"] < 3 else {"brackenbury": "remove"} if r["doc_id"] < 5 else {})
 
 
 def test_secrets_in_adjacent_lines():
