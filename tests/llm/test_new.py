@@ -1,9 +1,11 @@
 """Best-fit packing, ranked search and alignment: small cases by hand, and the registered queries against brute force."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -13,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from strandfold.llm import align, bestfit, entries, pii, repeats, search
+from strandfold.llm import align, bestfit, entries, pii, repeats, search, secrets
 
 DOCS = "doc_id long, text string, term string, n long, length long, uid long"
 
@@ -293,3 +295,33 @@ def test_added_spans_against_brute_force(spark):
         for label, a, b in sorted([(label, a, b) for (_, label), a, b in extra] + [(f"[{k.upper()}]", a, b) for k, a, b in base], key=lambda x: -x[1]):
             clean = clean[:a] + label + clean[b:]
         assert (r["sanitised"] or "") == clean
+
+
+def test_secrets_need_a_key_inside():
+    der = lambda tag, *parts: (b := b"".join(parts)) is not None and bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+    rsa_id = bytes.fromhex("06092a864886f70d010101")
+    number = lambda size, last: der(2, b"\x7b" * (size - 1) + bytes([last]))
+    rsa = der(0x30, b"\x02\x01\x00", number(64, 0xFB), b"\x02\x03\x01\x00\x01", *(number(32, i) for i in range(6)))
+    sealed = lambda inner, name=rsa_id: der(0x30, b"\x02\x01\x00", der(0x30, name, b"\x05\x00"), der(4, inner))
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    kinds = lambda text: [k for *_, k in secrets.scan(text) if k not in secrets.BASE]
+    for no_key in (sealed(b""), sealed(b"it was a dark and stormy night out there"), der(0x30, b"\x02\x01\x00", *(der(2, b"\x00" * 40),) * 8)):
+        assert kinds(f"a {base64.b64encode(no_key).decode()} b") == [] == kinds(f"a {no_key.hex()} b")
+    assert kinds(f"{head}.zz.q") == []
+    ec = der(0x30, b"\x02\x01\x01", der(4, b"k" * 32))
+    for key in (rsa, sealed(rsa), ec, sealed(ec, bytes.fromhex("06072a8648ce3d0201"))):
+        for code in (base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode(), key.hex(), key.hex().upper()):
+            for width in (28, 64, 10**6):
+                lines = [code[i : i + width] for i in range(0, len(code), width)]
+                if len(lines[0]) < 16:
+                    continue
+                for joint in ("\n", "\n> ", '"\n"', '\\n" +\n  "', "\\n", "\r\n\t"):
+                    body = joint.join(lines)
+                    found = [s for s in secrets.scan(f"so '{body}'\nand more") if s[2] not in secrets.BASE]
+                    assert found == [(4, 4 + len(body), "der")], (width, joint)
+    blank = base64.urlsafe_b64encode(b' {"alg":"HS256"}').decode().rstrip("=")
+    assert kinds(f"{blank}.eyJzdWIiOjF9.c2ln") == ["jwt"]
+    # Many keys cut short in one text: each reads only what it announces.
+    cut = base64.b64encode(b"openssh-key-v1\x00" + b"\x00\x00\x00\x04none" * 2 + b"\x00\x00\x00\x00\x00\x00\x00\x01\x00\x00\x00\x08").decode()
+    started = time.perf_counter()
+    assert kinds((cut + "\n") * 20000) == [] and time.perf_counter() - started < 20

@@ -81,7 +81,7 @@ def test_secret_structures():
     assert not secrets.is_private_der(_der(0x30, *(b"\x02\x01\x01",) * 9))
     dsa = _der(0x30, b"\x02\x01\x00", *(_der(2, b"\x01" * 40),) * 5)
     sealed = _der(0x30, _der(0x30, secrets.SEALED, _der(0x30, b"\x05\x00")), _der(4, b"x" * 50))
-    ed = _der(0x30, b"\x02\x01\x00", _der(0x30, bytes.fromhex("06032b6571")), _der(4, b"x" * 34))
+    ed = _der(0x30, b"\x02\x01\x00", _der(0x30, bytes.fromhex("06032b6570")), _der(4, _der(4, b"x" * 32)))
     assert all(map(secrets.is_private_der, (dsa, sealed, ed))) and not secrets.is_private_der(_der(0x30, _der(0x30, b"\x05\x00"), _der(4, b"x" * 50)))
     long = _der(0x30, b"\x02\x01\x00", *(_der(2, b"\x01" * 2000),) * 8)
     lines = base64.b64encode(long).decode()
