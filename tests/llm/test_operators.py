@@ -307,6 +307,13 @@ def test_chat(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_loss_of_many_spans(spark):
+    said = [f"\u00e9{i}</s>" * (i % 4) for i in range(2501)]
+    df = spark.createDataFrame([(c, t, "assistant" if t % 3 else "user", x) for c, n in ((1, 2501), (2, 1), (3, 2), (4, 5)) for t, x in enumerate(said[:n])], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r["loss"] for r in chat.format_chats(df).select("conv_id", chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got == {c: "".join(x for t, x in enumerate(said[:n]) if t % 3) for c, n in ((1, 2501), (2, 1), (3, 2), (4, 5))}
+
+
 @pytest.mark.parametrize("size", [70, 200])
 def test_repeats(docs, texts, size):
     data = [(t or "").encode() for t in texts]
@@ -405,6 +412,35 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert 5 < len(set(want)) < 80
 
 
+def test_near_copies_by_rarest_shingles(spark, monkeypatch):
+    """Of a heavy bucket every pair of components that is similar enough meets again, and texts alike in frequent shingles only do not."""
+    from strandfold.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 500)
+    rng = random.Random(31)
+    common = rng.sample(range(1, 10**6), 60)
+    sets = [np.array(sorted({*rng.sample(common, rng.randint(45, 60)), *(rng.randrange(10**6, 10**9) for _ in range(rng.choice((0, 1, 3, 9, 40))))}), np.uint64) for _ in range(150)]
+    sets += [np.array(sorted({*common, *range(10**10 + 100 * i, 10**10 + 100 * i + 20)}), np.uint64) for i in range(150)]
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node bigint, shingles binary")
+    rest = spark.createDataFrame([(7, i, len(s) + neardup.LONE, i % 40) for i, s in enumerate(sets)] + [(8, 1, 150, 1), (8, 2, 150, 2), (9, 3, 150, 3), (9, 43, 150, 3)], "band bigint, node bigint, w bigint, c bigint")
+    dealt = neardup._by_rarest(rest, table, 0.8).collect()
+    by = {}
+    for r in dealt:
+        by.setdefault(r["band"], []).append(r["node"])
+    assert sorted(by.pop(8)) == [1, 2] and 7 not in by and 9 not in by
+    met = {(x, y) for nodes in by.values() for x in nodes for y in nodes if x < y}
+    like = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j], assume_unique=True))
+            if i % 40 != j % 40 and both >= 0.8 * (len(x) + len(sets[j]) - both):
+                like.add((i, j))
+    assert like <= met and len(like) > 500
+    # The last 150 share 60 of 80 shingles, less than a pair must: none of them is dealt to any bucket.
+    assert not any(i >= 150 and j >= 150 for i, j in met)
+    assert neardup._by_rarest(rest.where("band != 7"), table, 0.8).count() == 2 and neardup._by_rarest(rest.where("false"), table, 0.8).count() == 0
+
+
 def test_pipeline_near_copies_null_and_repeated_ids(spark):
     import corpus_pipeline
 
@@ -484,15 +520,26 @@ def test_secrets_in_adjacent_lines():
         assert secrets.scan(f"key:{joint}{body}{joint}word") == [(4 + len(joint), 4 + len(joint) + len(body), "ssh")]
 
 
+def test_shards_split_null_ids_of_one_text(spark):
+    """Rows of a null id and one text that differ elsewhere are told apart by the whole row."""
+    df = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("hot " * 20).alias("text"), F.col("id").alias("other"), F.create_map(F.lit("a"), F.col("id")).alias("more"))
+    out = sharding.shard(df, 8, slice_bytes=4000).select("shard", "slot", "size").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(by) == 8 and all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) < 1.03 * min(map(len, by.values()))
+
+
 def test_language_sample_of_many_copies(spark):
     few = [(f"kalo mira {i}", "aa") for i in range(40)] * 200
     many = [(f"schtr grmpf {i}", "bb") for i in range(700)]
     df = spark.createDataFrame(few + many, "text string, lang string")
     rows = langid.training_rows(df, "text", "lang", 50)
     assert sum(lang == "aa" for _, lang in rows) == 40 and 25 <= sum(lang == "bb" for _, lang in rows) <= 90
-    langs = spark.range(langid.LANGUAGES + 1).select(F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError):
-        langid.training_rows(langs, "text", "lang", 50)
+    # More languages than may be learned: those with most texts, the first by name among equals.
+    langs = spark.range(30).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.lpad((F.col("id") % 13).cast("string"), 2, "0")).alias("lang"))
+    assert {lang for _, lang in langid.training_rows(langs, "text", "lang", 50, languages=5)} == {"l00", "l01", "l02", "l03", "l04"}
+    assert len({lang for _, lang in langid.training_rows(langs, "text", "lang", 50)}) == 13
 
 
 def test_neighbours_near_equal(spark):
