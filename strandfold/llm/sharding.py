@@ -63,13 +63,17 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
 
     Law: bytes. Splitters are exact to `tolerance` of a shard's share, or to one key's rows. Equal texts are neighbours and
     lie in one shard, unless a splitter falls among them. Rows keep their columns; columns named size, shard or slot are
-    replaced. Null ids and repeated rows are rows like any other; an empty table gives an empty one. What is gathered is
+    replaced. Null ids and repeated rows are rows like any other: rows of null ids and one text are told apart by a hash of
+    their other columns (maps aside), so only rows that are equal in all of them have one key. An empty table gives an
+    empty one. What is gathered is
     one row for each non-empty probe: about four for each `slice_bytes` of the data, and 2**12 for each splitter and round.
     """
     df = df.select(*(c for c in df.columns if c.lower() not in ("size", "shard", "slot")))
     k, s, first = fresh(df, "key_", "slice_", "first_")
-    # 40 bits of the text's hash, 23 bits of the id's.
-    own = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 24), 23).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(key)), 41))
+    # 40 bits of the text's hash, 23 bits of the id's, or of the whole row's where there is no id.
+    row = F.xxhash64(*(F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()))
+    own_id = F.when(F.col(key).isNull(), row).otherwise(F.xxhash64(F.col(key)))
+    own = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 24), 23).bitwiseOR(F.shiftrightunsigned(own_id, 41))
     sized = df.withColumns({"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint"), k: own})
     keyed = written(spread(df).select(own.alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size")), "keys")
     cells = histogram(keyed, shards, tolerance, slice_bytes)
