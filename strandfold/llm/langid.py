@@ -224,22 +224,18 @@ def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total / (np.maximum(n, 1) * (1 << 20))[:, None]
 
 
-#: Languages that one model can learn.
-LANGUAGES = 1000
-
-
-def training_rows(df: DataFrame, text: str, lang: str, per_language: int) -> list[tuple[str, str]]:
-    """At most about `per_language` different whole texts of each language, chosen by a hash of the text."""
+def training_rows(df: DataFrame, text: str, lang: str, per_language: int, languages: int = 1000) -> list[tuple[str, str]]:
+    """At most about `per_language` different whole texts of each language, chosen by a hash of the text; of the
+    `languages` with the most different texts, ties by name, if there are more."""
     own = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t != ''")
     h = F.xxhash64("t", F.lit(11))
     # Only different texts count: copies hash alike and are one text of the sample.
-    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.countDistinct(h).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()}
+    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.countDistinct(h).alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
     if not counts:
         return []
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; none is left out silently")
     every = F.coalesce(*(F.when(F.col("l") == k, F.lit(max(1, n // per_language))) for k, n in counts.items()))
     # A language of few texts may have none at a multiple of the step; its smallest hash is taken as well.
+    own = own.where(F.col("l").isin(list(counts)))
     least = own.groupBy("l").agg(F.min(h).alias("least"))
     picked = own.withColumn("h", h).join(F.broadcast(least), "l").where((F.pmod("h", every) == 0) | (F.col("h") == F.col("least")))
     rows = picked.select("t", "l", "h").dropDuplicates(["h", "l"]).orderBy("h", "l").collect()
@@ -252,9 +248,13 @@ def training_rows(df: DataFrame, text: str, lang: str, per_language: int) -> lis
     return kept
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, **options) -> Model | None:
-    """Fit on a sample of about `per_language` labelled texts of each language; None if there is no labelled text."""
-    rows = training_rows(df, text, lang, per_language)
+def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, languages: int = 1000, **options) -> Model | None:
+    """Fit on a sample of about `per_language` labelled texts of each language; None if there is no labelled text.
+
+    Only the `languages` with the most different texts are learned (bound of the sample and of the network's last layer);
+    texts of any other are predicted like all texts, as the learned language that their bytes are most like.
+    """
+    rows = training_rows(df, text, lang, per_language, languages)
     return fit(rows, **options) if rows else None
 
 
