@@ -1,8 +1,10 @@
-"""Near copies by the similarity of their word shingles: MinHash bands propose pairs, the shingle sets decide.
+"""Near copies by the SimHash fingerprints of their word shingles: a trie join proposes, the shingle sets decide.
 
-Texts with one shingle set are one node. Nodes that share a band of MinHash values meet in a bucket. First each is
-compared with two of its bucket: the node that meets the most others over all its bands, which in a group of near copies is
-the text they were made from, and the smallest one. Then the nodes of buckets that still hold different components are
+Texts with one shingle set are one node. Nodes get wide SimHash fingerprints, of so many sections that a pair of the least
+similarity is lost with a probability of 1e-6; simhash.wide_links() joins them in tries. Nodes that it connects, over any
+number of links, are one bucket. First each is compared with two of its bucket: the node that shares its sections with the
+most others, which in a group of near copies is the text they were made from, and the smallest one. Then the nodes of
+buckets that still hold different components are
 compared in blocks of bounded size: a task counts the shingles that all sets of two blocks share by a product of matrices
 and gives a spanning forest of the links, so no pair becomes a row; a component of more than a block is not compared with
 itself. A bucket of more than a block is not compared as it is: its nodes are dealt anew by the rarest shingles that they
@@ -21,16 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandfold.llm.common import components, keep_one, spread, written
-from strandfold.llm.simhash import _forest, words_of
+from strandfold.llm.simhash import _forest, section_bits, sections, wide_links, words_of
 
-#: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1.2e-7 at 0.8.
-BANDS, ROWS = 40, 5
 #: A block's expected weight: its nodes' shingles, and LONE more for each node, which bounds the nodes of a block as well.
 BLOCK, LONE = 1 << 18, 128
-_RNG = np.random.default_rng(23)
-_FACTORS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OWN = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
 def shingles_of(text: str | None, size: int = 5) -> np.ndarray:
@@ -43,26 +39,19 @@ def shingles_of(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((h(s) for s in runs), np.uint64))
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """BANDS hashes, each of ROWS MinHash values of a set that is not empty."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(low), 2048):
-        least = np.minimum(least, (low[at : at + 2048, None] * _FACTORS).min(axis=0))
-    return (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) + _OWN
-
-
-def _marked(texts: DataFrame, size: int) -> DataFrame:
-    """(key, h, h2, node, n, bands) of rows (key, h, h2, text): the set's hash, its size, its bands."""
-    schema = f"{texts.select('key', 'h', 'h2')._jdf.schema().toDDL()}, node bigint, n int, bands array<bigint>"
+def _marked(texts: DataFrame, size: int, least: float, bits: int) -> DataFrame:
+    """(key, h, h2, node, n, whole, sections) of rows (key, h, h2, text): the set's hash, its size, its wide fingerprint."""
+    schema = f"{texts.select('key', 'h', 'h2')._jdf.schema().toDDL()}, node bigint, n int, whole binary, sections array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles_of(t.as_py(), size) for t in batch.column("text")]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            bands = [bands_of(s).view(np.int64) if len(s) else None for s in sets]
-            columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "h", "h2")), *columns], names=["key", "h", "h2", "node", "n", "bands"])
+            prints = [sections(s, least, bits) if len(s) else (None, None) for s in sets]
+            whole = pa.array([None if w is None else w.tobytes() for w, _ in prints], pa.binary())
+            parts = pa.array([None if p is None else p.astype(np.int32) for _, p in prints], pa.list_(pa.int32()))
+            columns = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), whole, parts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "h", "h2")), *columns], names=["key", "h", "h2", "node", "n", "whole", "sections"])
 
     return texts.mapInArrow(work, schema)
 
@@ -191,15 +180,18 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     """
     own = F.coalesce(F.col(text), F.lit(""))
     texts = spread(df.select(F.col(key).alias("key"), F.xxhash64(own).alias("h"), F.hash(own).alias("h2"), own.alias("text")))
-    marked = written(_marked(texts, size), "marked")
-    nodes = marked.where("bands is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("h", "h2")).alias("at"))
+    rows = df.count()
+    bits = section_bits(rows)
+    marked = written(_marked(texts, size, least, bits), "marked")
+    prints = [F.first(c).alias(c) for c in ("n", "whole", "sections")]
+    nodes = marked.where("sections is not null").groupBy("node").agg(*prints, F.min(F.struct("h", "h2")).alias("at"))
     nodes = written(nodes, "nodes")
-    dealt = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    met = written(dealt.join(shared, "band"), "met")
-    reach = met.groupBy("node").agg(F.sum("members").alias("reach"))
-    leads = met.join(reach, "node").groupBy("band").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"), F.min("node").alias("lead"))
-    buckets = written(met.drop("members").join(leads, "band"), "buckets")
+    met = written(wide_links(nodes, bits, nodes.count()), "met")
+    reach = met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("reach").alias("reach"))
+    near = components(met.where("b is not null").select("a", "b")).select("node", F.col("component").alias("band"))
+    near = written(near.join(reach, "node", "left").join(nodes.select("node", "n"), "node").select("band", "node", "n", F.coalesce("reach", F.lit(0)).alias("reach")), "near")
+    leads = near.groupBy("band").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"), F.min("node").alias("lead"))
+    buckets = written(near.drop("reach").join(leads, "band"), "buckets")
     # Sets are made again for those that share a bucket, from one text each.
     wanted = buckets.select("node").distinct().join(nodes.select("node", "at.h", "at.h2"), "node")
     sets = written(_sets(texts.join(wanted, ["h", "h2"]).dropDuplicates(["node"]), size), "sets")

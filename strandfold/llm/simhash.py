@@ -5,11 +5,17 @@ prefixes already differ in more bits than the budget is pruned before any row mo
 one group. Inside a group the two tries are sorted arrays and a trie node is a range of them; node pairs are traversed
 together, differing bits accumulate, and a pair is pruned as soon as they exceed the budget. A group gives a spanning
 forest of its links (at most one link per fingerprint), so a dense cluster does not become all its pairs.
+
+Texts of a similarity at which 64 bits differ too often for a trie to prune get wide fingerprints instead, of several words
+of 64 bits. They are cut into sections, one trie table each: two texts meet if in any table their sections differ in at most
+one bit, and their first words then tell whether they are near (wide_links()).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +57,69 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(values)).tobytes(), "big")
 
 
+#: Wide fingerprints: the bits that may differ in the first word, the first two and the first three, which are compared
+#: whole, and the share of pairs of the least similarity that no section may bring together.
+WITHIN, MISS = (29, 48, 64), 1e-6
+WHOLE = len(WITHIN)
+_STEPS = np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_MIXED = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+
+
+def wide_fingerprint(values: np.ndarray, words: int) -> np.ndarray:
+    """The bits (0 or 1) of `words` fingerprints of the distinct hashes `values`: word w is the one of mix(value, w)."""
+    counts = np.zeros(words * BITS, np.int64)
+    for at in range(0, len(values), 255):
+        h = values[at : at + 255, None] + _STEPS[:words]
+        for shift, factor in _MIXED:
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (counts * 2 > len(values)).astype(np.uint8)
+
+
+@lru_cache(maxsize=None)
+def differing(least: float, n: int, exact: int = 40) -> float:
+    """The probability, at most, that a bit differs between a set of n values and any set of a similarity of `least` or more.
+
+    Never less than by the angle of sets of equal size; counted for sets of up to `exact` values, where ties of few values
+    weigh more, and taken from the largest of these for larger sets.
+    """
+    angle = math.acos(2 * least / (1 + least)) / math.pi
+    if n > exact:
+        return max(differing(least, k) for k in range(exact - 9, exact + 1))
+    chances = lambda k: [(2 * i - k, math.comb(k, i) / 2**k) for i in range(k + 1)]
+    worst = angle
+    for m in range(max(1, math.ceil(least * n - 1e-9)), int(n / least + 1e-9) + 1):
+        k = math.ceil(least * (n + m) / (1 + least) - 1e-9)
+        if k > min(n, m):
+            continue
+        p = 0.0
+        for s, at in chances(k):
+            one, two = (sum(c for x, c in chances(size - k) if s + x > 0) for size in (n, m))
+            p += at * (one * (1 - two) + two * (1 - one))
+        worst = max(worst, p)
+    return worst
+
+
+@lru_cache(maxsize=None)
+def tables(least: float, n: int, bits: int) -> int:
+    """How many sections of `bits` bits a set of n values needs, so that MISS of its near sets share none within one bit."""
+    p = differing(least, n)
+    return math.ceil(math.log(MISS) / math.log1p(-((1 - p) ** bits + bits * p * (1 - p) ** (bits - 1))))
+
+
+def section_bits(rows: int) -> int:
+    """Even, and growing with the number of rows, so that a section's value is shared by few unlike texts."""
+    return min(30, max(16, (rows.bit_length() - 1) // 2 * 2))
+
+
+def sections(values: np.ndarray, least: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The WHOLE first words of the wide fingerprint of a set that is not empty, and its sections."""
+    count = tables(least, min(len(values), 41), bits)
+    flat = wide_fingerprint(values, max(WHOLE, -(-count * bits // BITS)))
+    return np.packbits(flat[: WHOLE * BITS]).view(np.int64), flat[: count * bits].reshape(count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3, keep_text: bool = True) -> DataFrame:
     """df with `out`: the fingerprint as a signed BIGINT of the same 64 bits. Null, empty and wordless texts: 0.
 
@@ -180,6 +249,143 @@ def near_links(prints: DataFrame, column: str = "fingerprint", budget: int = 3,
     return dealt.groupBy("pair").applyInArrow(join, "a bigint, b bigint")
 
 
+class _Sets:
+    """Union-find over whole arrays; a set's root is its smallest index."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            p, q = self.parent[i], self.parent[j]
+            apart = p != q
+            if not apart.any():
+                return
+            i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            self.parent[high] = np.minimum(p, q)[first]
+            while True:
+                up = self.parent[self.parent]
+                if np.array_equal(up, self.parent):
+                    break
+                self.parent = up
+
+
+def _products(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of the ranges [a, a + n) and [b, b + m), at most `most` at a time."""
+    ends = np.cumsum(n * m)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, most):
+        flat = np.arange(low, min(low + most, int(ends[-1])))
+        of = np.repeat(*_spans(ends, low, int(flat[-1]) + 1))
+        rest = flat - (ends[of] - n[of] * m[of])
+        yield a[of] + rest // m[of], b[of] + rest % m[of]
+
+
+def _spans(ends: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    first, last = np.searchsorted(ends, [low, high - 1], "right")
+    edges = np.concatenate([[low], ends[first:last], [high]])
+    return np.arange(first, last + 1), np.diff(edges)
+
+
+def near_sets(section: np.ndarray, whole: np.ndarray, bit: int, only: int = 0, within: tuple[int, ...] = WITHIN, pivots: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(root, mates) of each row: the first row of its component, and how many of that have its section value.
+
+    Rows are linked if their sections differ in at most one of the lowest `bit` bits (and, of different sections, in one of
+    `only` where that is given) and their first words of `whole` in at most `within`. A trie join of the section values
+    gives pairs of leaves. The rows of a leaf are first compared with a few of them, so a dense cluster is one component
+    before pairs are looked at; then only rows of different components are compared.
+    """
+    order = np.argsort(section, kind="stable")
+    values, start, size = np.unique(section[order], return_index=True, return_counts=True)
+    values = values.astype(np.uint64)
+    u, v = (np.concatenate(x) for x in zip(*trie_pairs(values, values, True, bit, 0, 1), (np.zeros(0, np.int64),) * 2, strict=True))
+    if only:
+        meant = ((values[u] ^ values[v]) & np.uint64(only)) != 0
+        u, v = u[meant], v[meant]
+    words = [np.ascontiguousarray(whole[order, k]) for k in range(whole.shape[1])]
+    sets = _Sets(len(section))
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        bits = np.zeros(len(i), np.uint8)
+        for word, most in zip(words, within, strict=True):
+            bits += np.bitwise_count(word[i] ^ word[j])
+            near = np.flatnonzero(bits <= most)
+            i, j, bits = i[near], j[near], bits[near]
+        if len(i):
+            sets.join(i, j)
+
+    leaf = np.repeat(np.arange(len(values)), size)
+    for k in range(pivots):
+        pivot = start + size * k // pivots
+        compare(pivot[leaf], np.arange(len(order)))
+        compare(pivot[u], pivot[v])
+    # A run is the rows of one leaf and one component; rows of a run need no comparison.
+    ranked = np.lexsort((sets.parent, leaf))
+    order, words = order[ranked], [word[ranked] for word in words]
+    place = np.empty(len(order), np.int64)
+    place[ranked] = np.arange(len(order))
+    roots = place[sets.parent[ranked]]
+    at = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (roots[1:] != roots[:-1])]))
+    sets = _Sets(len(order))
+    sets.join(np.arange(len(order)), roots)
+    long = np.diff(np.append(at, len(order)))
+    runs = np.bincount(leaf[at], minlength=len(values))
+    first = np.cumsum(runs) - runs
+    own = np.flatnonzero(runs > 1) if not only else np.zeros(0, np.int64)
+    u, v = np.concatenate([u, own]), np.concatenate([v, own])
+    for i, j in _products(first[u], runs[u], first[v], runs[v]):
+        parent = sets.parent[at]
+        other = np.flatnonzero((i != j) & (parent[i] != parent[j]))
+        i, j = i[other], j[other]
+        several = long[i] * long[j] > 1
+        compare(at[i[~several]], at[j[~several]])
+        i, j = i[several], j[several]
+        for x, y in _products(at[i], long[i], at[j], long[j]):
+            compare(x, y)
+    least = np.full(len(order), len(order))
+    np.minimum.at(least, sets.parent, order)
+    root = np.empty(len(order), np.int64)
+    root[order] = least[sets.parent]
+    _, same, mates = np.unique(section * len(section) + root, return_inverse=True, return_counts=True)
+    return root, mates[same]
+
+
+def wide_links(prints: DataFrame, bits: int, rows: int, group: int = 13) -> DataFrame:
+    """(a, b, reach): links between rows (node, whole, sections) that connect all that wide fingerprints call near; rows
+    with a null b tell how many rows of its component node a shares a section's value with.
+
+    A table's rows are dealt by the leading bits of the section, about 2**group together. Sections that differ in a leading
+    bit meet in a second rotation of the table, which begins with the section's other half and makes only those pairs.
+    """
+    g = min(bits // 2, max(0, rows.bit_length() - group))
+    half = bits // 2
+    low = (1 << half) - 1
+    turned = F.shiftleft(F.col("s").bitwiseAND(low), half).bitwiseOR(F.shiftright("s", half))
+    dealt = prints.select("node", F.col("whole"), F.posexplode("sections").alias("t", "s"))
+    if g:
+        dealt = dealt.select("node", "whole", F.col("t"), F.explode(F.array(F.struct(F.lit(0).alias("r"), F.col("s").alias("s")), F.struct(F.lit(1).alias("r"), turned.alias("s")))).alias("x")).select("node", "whole", "t", "x.r", "x.s")
+    else:
+        dealt = dealt.select("node", "whole", "t", F.lit(0).alias("r"), "s")
+    key = F.shiftleft(F.col("t").cast("bigint") * 2 + F.col("r"), g).bitwiseOR(F.shiftright("s", bits - g).cast("bigint"))
+    only = ((1 << g) - 1) << (half - g)
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        holds("simhash", _CACHE.clear)
+        table = table.sort_by("node").combine_chunks()
+        node, section = table.column("node").to_numpy(), table.column("s").to_numpy().astype(np.int64)
+        whole = np.frombuffer(b"".join(x.as_py() for x in table.column("whole")), np.uint64).reshape(-1, WHOLE)
+        of = key[0].as_py() >> g
+        root, mates = near_sets(section, whole, bits - g, only if of % 2 else 0)
+        _CACHE.clear()
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        told = np.flatnonzero(mates > 1) if of % 2 == 0 and of < 32 else np.zeros(0, np.int64)
+        b = pa.concat_arrays([pa.array(node[linked]), pa.nulls(len(told), pa.int64())])
+        reach = np.concatenate([np.zeros(len(linked), np.int64), mates[told]])
+        return pa.table({"a": np.concatenate([node[root[linked]], node[told]]), "b": b, "reach": reach})
+
+    return dealt.select(key.alias("key"), "node", "whole", "s").groupBy("key").applyInArrow(join, "a bigint, b bigint, reach bigint")
+
+
 def _grouped(df: DataFrame, key: str, text: str, budget: int, shingle: int, prefix: int | None) -> DataFrame:
     """(key, h, h2, fingerprint, group, component_id) of every row; h and h2 are hashes of the text, group is never null."""
     own = F.coalesce(F.col(text), F.lit(""))

@@ -412,6 +412,72 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert 5 < len(set(want)) < 80
 
 
+def _wide_groups(section, whole, least_bits, within):
+    n = len(section)
+    ok = np.bitwise_count(section[:, None] ^ section[None, :]) <= least_bits
+    bits = np.zeros((n, n), np.int64)
+    for k, most in enumerate(within):
+        bits += np.bitwise_count(whole[:, None, k] ^ whole[None, :, k])
+        ok &= bits <= most
+    root = np.arange(n)
+    while True:
+        new = np.array([root[ok[i]].min() for i in range(n)])
+        if np.array_equal(new, root):
+            return root
+        root = np.minimum(new, root)
+
+
+def test_wide_fingerprints_meet_in_trie_tables():
+    """Components of one table against brute force, and the share of near pairs that all tables together lose."""
+    from strandfold.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for flips in (0, 1, 3, 9):
+        whole = rng.integers(0, 1 << 63, (6, 3), dtype=np.uint64)[rng.integers(0, 6, 150)]
+        for _ in range(flips):
+            whole = whole ^ (np.uint64(1) << rng.integers(0, 63, (150, 3), dtype=np.uint64))
+        section = rng.integers(0, 64, 150)
+        root, mates = simhash.near_sets(section, whole, 6, within=(8, 12, 14))
+        assert root.tolist() == _wide_groups(section, whole, 1, (8, 12, 14)).tolist()
+        assert mates.tolist() == [int(((section == s) & (root == r)).sum()) for s, r in zip(section, root, strict=True)]
+    for n, m, both in ((100, 100, 89), (4, 5, 4), (9, 9, 8), (40, 50, 40)):  # similarities of 0.8 and a little more
+        lost, bits = 0, 0
+        for _ in range(200):
+            values = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+            (a, x), (b, y) = (simhash.sections(v, 0.8, 16) for v in (values[:n], values[n - both :]))
+            tables = min(len(x), len(y))
+            met = (np.bitwise_count(x[:tables] ^ y[:tables]) <= 1).any()
+            apart = np.cumsum(np.bitwise_count(a ^ b))
+            lost += not (met and all(apart <= simhash.WITHIN))
+            bits += int(apart[-1])
+        assert lost == 0 and bits / (200 * 192) < simhash.differing(0.8, min(n, 41)) + 0.01
+
+
+def test_near_copies_come_through_the_simhash_join(spark, monkeypatch):
+    """The stage's candidates are what the trie join of fingerprints links: over rotations of tables too, and nothing else."""
+    from strandfold.llm import neardup, simhash
+
+    rng = random.Random(17)
+    rows = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(900)}" for _ in range(60)]
+        rows += [" ".join(w), " ".join([*w, "tail"]), " ".join(f"w{rng.randrange(900)}" for _ in range(60))]
+    want = _near_groups(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+
+    def groups():
+        got = {r["key"]: r["group"] for r in neardup.near_copies(df).collect()}
+        least = {}
+        for k, g in sorted(got.items()):
+            least.setdefault(g, k)
+        return [least[got[k]] for k in range(len(rows))]
+
+    monkeypatch.setattr(neardup, "wide_links", lambda prints, bits, n: simhash.wide_links(prints, bits, n, group=4))  # 4 leading bits
+    assert groups() == want and len(set(want)) == 24
+    monkeypatch.setattr(neardup, "wide_links", lambda prints, bits, n: simhash.wide_links(prints, bits, n).where("false"))
+    assert groups() == list(range(len(rows)))
+
+
 def test_near_copies_by_rarest_shingles(spark, monkeypatch):
     """Of a heavy bucket every pair of components that is similar enough meets again, and texts alike in frequent shingles only do not."""
     from strandfold.llm import neardup
