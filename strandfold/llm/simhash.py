@@ -117,7 +117,7 @@ def sections(values: np.ndarray, least: float, bits: int) -> tuple[np.ndarray, n
     """The WHOLE first words of the wide fingerprint of a set that is not empty, and its sections."""
     count = tables(least, min(len(values), 41), bits)
     flat = wide_fingerprint(values, max(WHOLE, -(-count * bits // BITS)))
-    return np.packbits(flat[: WHOLE * BITS]).view(np.int64), flat[: count * bits].reshape(count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return np.packbits(flat[: WHOLE * BITS]).view(np.uint64), flat[: count * bits].reshape(count, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3, keep_text: bool = True) -> DataFrame:
